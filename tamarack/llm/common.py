@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,3 +79,10 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, upon which Spark drops the shuffle files of finished jobs that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, pii, sentencepiece
+from . import chat, exact_dedup, language_id, near_dedup, pii, sentencepiece
 from .common import table
 
 
@@ -42,11 +40,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op5_chat, op6_exact_dedup, op9_pii)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op5_chat, op6_exact_dedup, op7_near_dedup, op9_pii)}
 
 ORACLE_SQL = {
     "op5_chat": r"""
