@@ -6,8 +6,9 @@ sum of minima over the sum of maxima, is THRESHOLD or more. Classes are the conn
 
 1. Documents are dealt into blocks. Each block asks for the document frequencies of its distinct shingles, sorted
    and packed by range of the shingle's hash; each range is summed over all blocks and answered to each block.
-2. Each block draws SAMPLES consistent weighted samples for each document. The random variables of a shingle and a
-   sample come from tables of 65,536 draws addressed by a hash. Samples are joined to bands of ROWS.
+2. A document of whose weight other documents hold too little to reach THRESHOLD with any of them is a class of its own.
+   For each other the block draws SAMPLES consistent weighted samples. The random variables of a shingle and a sample
+   come from tables of 65,536 draws addressed by a hash. Samples are joined to bands of ROWS.
 3. Documents with the same weighted shingles are one entity. Entities that share a band's value are candidates.
    Within a bucket some members are leaders, and only pairs of a leader and a member that no link connects yet are
    verified, exactly. Leaders leave the bucket, components are updated, and the next round takes more leaders,
@@ -129,8 +130,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 SKETCH = "doc_id long, same binary, weight double, bands array<long>, shingles binary, tf binary, df binary"
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """A row for each document with words, stored."""
+def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document with words, stored; all but doc_id is null where no link is possible."""
     require(docs, "doc_id", "text")
     n_docs, n_blocks = block_count(docs, text_of())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), block_of(n_blocks, F.col("doc_id"), text_of()).alias("block"))
@@ -160,13 +161,20 @@ def sketch(docs: DataFrame) -> DataFrame:
         df = np.concatenate([unpack_counts(x) for _, x in answers]).astype(np.int64)[place]
         w = weights(tf, df, n_docs)
         start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        own = keys[place]
+        total, shared, number = np.add.reduceat(w, start), np.add.reduceat(np.where(df > 1, w, 0), start), doc[start]
+        # No similarity can exceed the share of weight that other documents hold too.
+        close = shared >= (threshold - 1e-9) * total
+        ids = left.column("doc_id").to_pylist()
+        out = [(ids[i], *[None] * 6) for i in number[~close]]
+        kept = np.repeat(close, np.diff(np.append(start, len(doc))))
+        own, w, tf, df = keys[place[kept]], w[kept], tf[kept], df[kept]
+        number, total = number[close], total[close]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), np.diff(doc[kept]) != 0]))
         bands = bands_of(sample(own, np.log(w).astype(np.float32), start))
-        total, ids, out = np.add.reduceat(w, start), left.column("doc_id").to_pylist(), []
         for i, (a, b) in enumerate(zip(start, np.append(start[1:], len(own)), strict=True)):
             shingles, counts = own[a:b], tf[a:b]
             same = hashlib.blake2b(shingles.tobytes() + counts.astype(np.int64).tobytes(), digest_size=16).digest()
-            out.append((ids[doc[a]], same, float(total[i]), bands[i].tolist(), pack_sorted(shingles), pack_counts(counts), pack_counts(df[a:b])))
+            out.append((ids[number[i]], same, float(total[i]), bands[i].tolist(), pack_sorted(shingles), pack_counts(counts), pack_counts(df[a:b])))
         return pa.table([pa.array([x[k] for x in out], t.type) for k, t in enumerate(schema)], schema=schema)
 
     asked = rows.groupBy("block").applyInArrow(ask, "range long, block long, keys binary, n binary")
@@ -230,7 +238,7 @@ def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOL
     n = candidates.count()
     if not n:
         return None
-    few = passing(sketches, "same", bloom_of(candidates.select("same"), n))
+    few = passing(sketches.filter("same is not null"), "same", bloom_of(candidates.select("same"), n))
     features = few.join(candidates.withColumnRenamed("same", "_same"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     features = stored(features.select("same", "shingles", "tf", "df", "n_docs").dropDuplicates(["same"]), "features")
     members = members.withColumn("root", F.col("same"))
@@ -259,9 +267,9 @@ def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOL
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, kept (the document is its class's first) for all rows of docs."""
-    sketches = sketch(docs)
+    sketches = sketch(docs, threshold)
     release(docs.sparkSession)
-    entities = stored(sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "entities")
+    entities = stored(sketches.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "entities")
     labels = linked(entities, sketches, threshold)
     own = entities.select("same", "rep", "n")
     if labels is None:
@@ -270,10 +278,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         in_class = own.join(labels, "same", "left").withColumn("root", F.coalesce("root", "same"))
         ids = in_class.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
         roots = in_class.join(ids, "root").select("same", "class_id", "class_size")
-    found = sketches.select("doc_id", "same").join(roots, "same", "left").select("doc_id", "class_id", "class_size")
-    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(~has_words(F.col("text")))
-    alone = bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    found = sketches.filter("same is not null").select("doc_id", "same").join(roots, "same").select("doc_id", "class_id", "class_size")
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(~has_words(F.col("text"))).select("doc_id")
+    alone = sketches.filter("same is null").select("doc_id").unionByName(bare)
+    return found.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def has_words(text: Column) -> Column:

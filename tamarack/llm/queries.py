@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, near_dedup, pii, sentencepiece
+from . import chat, decontaminate, exact_dedup, language_id, near_dedup, pii, quality, sentencepiece
 from .common import table
 
 
@@ -44,11 +44,19 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op5_chat, op6_exact_dedup, op7_near_dedup, op9_pii)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op5_chat, op6_exact_dedup, op7_near_dedup, op8_quality, op9_pii, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op5_chat": r"""

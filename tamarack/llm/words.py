@@ -11,6 +11,8 @@ from functools import lru_cache
 import numpy as np
 
 SHINGLE = 5
+#: Characters that are hashed at a time, so that arrays of a number for each byte stay small.
+_CHARS = 1 << 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = True
@@ -50,6 +52,18 @@ def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
 
     A text of fewer words, but one at least, has one shingle of all its words; a text without words has none.
     """
+    ends = np.cumsum([len(t) for t in texts])
+    parts, offsets, lo = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CHARS, "right")))
+        hashes, offset = _shingles(texts[lo:hi], size)
+        parts.append(hashes)
+        offsets.append(offset[1:] + offsets[-1][-1])
+        lo = hi
+    return np.concatenate(parts), np.concatenate(offsets)
+
+
+def _shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, offset = word_hashes(texts)
     count = np.diff(offset)
     shingles = np.where(count == 0, 0, np.maximum(count - size + 1, 1))
