@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, near_dedup, pii, quality, sentencepiece
-from .common import table
+from . import chat, decontaminate, exact_dedup, language_id, near_dedup, pii, quality, sentencepiece, token_counts, warc
+from .common import scratch_path, stored, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +17,21 @@ def tokenizer_file(name: str) -> str:
     return f"{folder}/{name}"
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are inserted with a guess of four characters to a token, revised to their counts, and deleted if they have no token."""
+    ranks = sentencepiece.read_model(spark, tokenizer_file("byte_bpe_50k.tiktoken"))
+    counts = stored(token_counts.count_tokens(table(spark, sf_dir, "documents"), ranks, "byte_bpe_50k"), "counts")
+    guess = F.floor(F.col("n_chars") / 4)
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
+    guesses = counts.withColumn("n_tokens", guess)
+    rollup.commit("insert", token_counts.inserts(guesses))
+    rollup.commit("insert", token_counts.inserts(guesses))
+    rollup.commit("revise", token_counts.revisions(counts, guess))
+    rollup.commit("delete", token_counts.deletes(counts.filter("n_tokens = 0")))
+    rollup.compact()
+    return rollup.totals()
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece.read_model(spark, tokenizer_file("piece_bpe_32k.model"))
     return sentencepiece.encode(table(spark, sf_dir, "documents"), model).drop("ids", "parity")
@@ -29,6 +44,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a replica in which every page whose id leaves 7 on division by 199 is damaged."""
+    pages = table(spark, sf_dir, "pages")
+    n = warc.files_for(pages)
+    return warc.audit(warc.records_of(pages, n), warc.records_of(warc.damaged(pages, F.col("page_id") % 199 == 7), n))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -56,9 +78,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op5_chat, op6_exact_dedup, op7_near_dedup, op8_quality, op9_pii, op10_decontaminate)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_language_id, op4_warc_audit, op5_chat, op6_exact_dedup, op7_near_dedup, op8_quality, op9_pii, op10_decontaminate, pipeline)}
 
 ORACLE_SQL = {
+    "op4_warc_audit": r"""
+WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 2048.0) AS BIGINT)) AS n FROM pages),
+r AS (SELECT page_id, coalesce(url, '') AS url, coalesce(page_id, 0) % (SELECT n FROM n) AS file,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+  || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+  || 'Content-Length: ' || CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec, html FROM pages),
+l AS (SELECT page_id, url, file, html, CAST(octet_length(encode(rec)) AS BIGINT) AS length, sha256(rec) AS sha256 FROM r)
+SELECT page_id, file, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, url, sha256 ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset", length, sha256,
+  CASE WHEN page_id % 199 = 7 AND coalesce(html, '') <> '' THEN 'changed' ELSE 'intact' END AS state FROM l""",
     "op5_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
