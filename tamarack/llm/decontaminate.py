@@ -13,7 +13,7 @@ many consecutive words of a document as an item has.
 4. Verification. The weighted Jaccard similarity of the shingles, as multisets, where a shingle weighs as many as it has
    distinct words; THRESHOLD or more is reported.
 
-Items of fewer words than SIZE have one shingle of all of them; windows and items of more than 65,535 words skip the
+Items of fewer words than SIZE have one shingle of all of them; windows and items of more than 32,767 words skip the
 fingerprints and are verified. Null and empty texts, and items without words, match nothing. Items that repeat are reported each; rows that
 repeat are one (doc_id, item_id). Null ids are reported as null. Empty tables give an empty result. Other columns do not matter.
 """
@@ -33,7 +33,7 @@ THRESHOLD = 0.8
 RADIUS = 15
 #: Rows of item shingles that one pass broadcasts at most, about 50 MB.
 ANCHORS = 1 << 20
-_LANES, _MOST_WORDS = 0x0001000100010001, 65535
+_LANES, _MOST_WORDS = 0x0001000100010001, 32767
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
