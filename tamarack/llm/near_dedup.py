@@ -11,7 +11,7 @@ sum of minima over the sum of maxima, is THRESHOLD or more. Classes are the conn
    come from tables of 65,536 draws addressed by a hash. Samples are joined to bands of ROWS.
 3. Documents with the same weighted shingles are one entity. Entities that share a band's value are candidates.
    Within a bucket some members are leaders, and only pairs of a leader and a member that no link connects yet are
-   verified, exactly. Leaders leave the bucket, components are updated, and the next round takes more leaders,
+   verified, exactly; from the second round on only pairs of which at least AGREE samples agree. Leaders leave the bucket, components are updated, and the next round takes more leaders,
    until no bucket holds two components. So large groups cost little and no candidate pair is given up.
 
 A document without words is a class of its own. Null text counts as empty; documents of fewer than five words have one
@@ -36,7 +36,9 @@ from .words import mix, shingle_hashes
 
 THRESHOLD = 0.8
 ROWS, BANDS = 3, 10
-SAMPLES = ROWS * BANDS
+#: Samples of a document, the first ROWS * BANDS of which make bands; and how many have to agree, of all, for a pair of the
+#: later rounds to be verified. Of pairs with a similarity of 0.8 fewer agree with a probability under 1e-5.
+SAMPLES, AGREE = 192, 128
 #: Bits of a shingle's hash, and shingles that one range holds on average.
 HASH_BITS, RANGE_KEYS = 43, 1 << 20
 #: Pairs of one leader that one group verifies on average.
@@ -115,6 +117,22 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def lanes_of(samples: np.ndarray) -> np.ndarray:
+    """Eight bits of each sample, eight samples to a number."""
+    return np.ascontiguousarray((mix(samples.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)).view(np.int64)
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """How many lanes of two documents are equal."""
+    differ = F.lit(0)
+    for i in range(SAMPLES // 8):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(SAMPLES) - differ
+
+
 def weights(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
     return tf * np.log1p(n_docs / np.maximum(df, 1))
 
@@ -127,7 +145,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / total) if total > 0 else 0.0
 
 
-SKETCH = "doc_id long, same binary, weight double, bands array<long>, shingles binary, tf binary, df binary"
+SKETCH = "doc_id long, same binary, weight double, bands array<long>, lanes array<long>, shingles binary, tf binary, df binary"
 
 
 def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -153,7 +171,7 @@ def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pa.table([table.column("block"), table.column("range"), pa.array([pack_counts(x) for x in cut], pa.binary())], ["block", "range", "df"])
 
     def draw(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("tf", pa.binary()), ("df", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64())), ("shingles", pa.binary()), ("tf", pa.binary()), ("df", pa.binary())])
         keys, doc, place, tf = shingles_of_block(left.column("text").to_pylist()) if left.num_rows else (np.zeros(0, np.uint64),) * 4
         if not len(keys):
             return schema.empty_table()
@@ -165,16 +183,17 @@ def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # No similarity can exceed the share of weight that other documents hold too.
         close = shared >= (threshold - 1e-9) * total
         ids = left.column("doc_id").to_pylist()
-        out = [(ids[i], *[None] * 6) for i in number[~close]]
+        out = [(ids[i], *[None] * 7) for i in number[~close]]
         kept = np.repeat(close, np.diff(np.append(start, len(doc))))
         own, w, tf, df = keys[place[kept]], w[kept], tf[kept], df[kept]
         number, total = number[close], total[close]
         start = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), np.diff(doc[kept]) != 0]))
-        bands = bands_of(sample(own, np.log(w).astype(np.float32), start))
+        samples = sample(own, np.log(w).astype(np.float32), start)
+        bands, lanes = bands_of(samples), lanes_of(samples)
         for i, (a, b) in enumerate(zip(start, np.append(start[1:], len(own)), strict=True)):
             shingles, counts = own[a:b], tf[a:b]
             same = hashlib.blake2b(shingles.tobytes() + counts.astype(np.int64).tobytes(), digest_size=16).digest()
-            out.append((ids[number[i]], same, float(total[i]), bands[i].tolist(), pack_sorted(shingles), pack_counts(counts), pack_counts(df[a:b])))
+            out.append((ids[number[i]], same, float(total[i]), bands[i].tolist(), lanes[i].tolist(), pack_sorted(shingles), pack_counts(counts), pack_counts(df[a:b])))
         return pa.table([pa.array([x[k] for x in out], t.type) for k, t in enumerate(schema)], schema=schema)
 
     asked = rows.groupBy("block").applyInArrow(ask, "range long, block long, keys binary, n binary")
@@ -230,26 +249,30 @@ def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
 
 
 def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """Entities (same, rep, weight, bands) that have links, as (same, root); None if there are none."""
+    """Entities (same, rep, weight, bands, lanes) that have links, as (same, root); None if there are none."""
     rows = entities.select("same", "weight", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = stored(rows.join(shared, "bucket"), "members")
-    candidates = stored(members.select("same").distinct().join(entities.select("same", "rep"), "same"), "candidates")
+    candidates = stored(members.select("same").distinct().join(entities.select("same", "rep", "lanes"), "same"), "candidates")
     n = candidates.count()
     if not n:
         return None
     few = passing(sketches.filter("same is not null"), "same", bloom_of(candidates.select("same"), n))
-    features = few.join(candidates.withColumnRenamed("same", "_same"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    features = few.drop("lanes").join(candidates.select(F.col("same").alias("_same"), "rep"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     features = stored(features.select("same", "shingles", "tf", "df", "n_docs").dropDuplicates(["same"]), "features")
     members = members.withColumn("root", F.col("same"))
     labels = candidates.select("same", F.col("same").alias("root"))
     leaders_per_bucket = 1
     while True:
         # Of each slot of a bucket the member of the smallest hash leads.
-        order = F.struct(F.xxhash64("same"), "same", "root", "weight")
+        if leaders_per_bucket > 1:
+            members = members.join(candidates.select("same", "lanes"), "same")
+        order = F.struct(F.xxhash64("same"), "same", "root", "weight", *(["lanes"] if leaders_per_bucket > 1 else []))
         slot = F.pmod(F.xxhash64("same", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
-        leaders = members.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("l")).select("bucket", F.col("l.same").alias("a"), F.col("l.root").alias("a_root"), F.col("l.weight").alias("a_weight"))
+        leaders = members.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("l")).select("bucket", F.col("l.same").alias("a"), F.col("l.root").alias("a_root"), F.col("l.weight").alias("a_weight"), *([F.col("l.lanes").alias("a_lanes")] if leaders_per_bucket > 1 else []))
         close = F.least("weight", "a_weight") >= threshold * F.greatest("weight", "a_weight") - 1e-9
+        if leaders_per_bucket > 1:
+            close &= agreement(F.col("lanes"), F.col("a_lanes")) >= AGREE
         pairs = members.join(leaders, "bucket").filter((F.col("root") != F.col("a_root")) & (F.col("a") != F.col("same")) & close)
         pairs = stored(pairs.select("a", F.col("same").alias("b"), "a_root", F.col("root").alias("b_root")).distinct(), "pairs")
         similar = stored(verify(pairs.select("a", "b"), features, threshold), "links")
@@ -257,7 +280,7 @@ def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOL
             edges = similar.join(pairs, ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
             moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("next"))
             labels = stored(labels.join(moved, "root", "left").select("same", F.coalesce("next", "root").alias("root")), "labels")
-        left = members.drop("root").join(leaders.select("bucket", F.col("a").alias("same")), ["bucket", "same"], "left_anti").join(labels, "same")
+        left = members.drop("root", "lanes").join(leaders.select("bucket", F.col("a").alias("same")), ["bucket", "same"], "left_anti").join(labels, "same")
         open_ = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("bucket")
         members = stored(left.join(open_, "bucket").select("bucket", "same", "weight", "root"), "members")
         if members.isEmpty():
@@ -269,7 +292,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, kept (the document is its class's first) for all rows of docs."""
     sketches = sketch(docs, threshold)
     release(docs.sparkSession)
-    entities = stored(sketches.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "entities")
+    entities = stored(sketches.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes")), "entities")
     labels = linked(entities, sketches, threshold)
     own = entities.select("same", "rep", "n")
     if labels is None:
