@@ -27,11 +27,21 @@ def quoted(text: str) -> str:
 
 
 def java_pattern(pattern: str, before: bool = False, after: bool = False) -> str:
-    """A regular expression to search for. before, after: text may stand before or after what the pattern matches."""
+    """A regular expression to search for. before, after: text may stand before or after what the pattern matches.
+
+    Between runs each part is taken where it first occurs, in an atomic group: no other choice can help a later part, so time stays
+    linear in the text for each part.
+    """
     found = tokens(pattern)
-    while before and found and found[0][0] == "run":
-        found = found[1:]
-    while after and found and found[-1][0] == "run":
-        found = found[:-1]
-    body = "".join({"run": ".*", "one": "."}.get(kind) or quoted(c) for kind, c in found)
-    return "(?s)" + ("" if before else r"\A") + re.sub(r"(\.\*)+", ".*", body) + ("" if after else r"\z")
+    parts: list[str] = [""]
+    for kind, c in found:
+        if kind == "run":
+            parts.append("")
+        else:
+            parts[-1] += "." if kind == "one" else quoted(c)
+    parts = ([""] if before else []) + parts + ([""] if after else [])
+    if len(parts) == 1:
+        return rf"(?s)\A{parts[0]}\z"
+    first, *middle, last = parts
+    body = "".join(f"(?>.*?{p})" for p in middle if p)
+    return rf"(?s)\A{first}{body}" + (rf".*{last}\z" if last else "")

@@ -13,7 +13,8 @@ from ..errors import CompileError, ConditionError, EngineError, ParseError
 from ..functions.fields import FieldMapping
 from ..functions.sqltext import all_of, any_of, sql_str
 from ..plans.condition import Node, compile_condition, names_in
-from ..plans.emit import Columns, Layout, MapEvents, condition_sql, identifier_sql, logsource_sql, test_sql
+from ..functions.linear import search
+from ..plans.emit import LINEAR_MATCH, Columns, Layout, MapEvents, condition_sql, identifier_sql, logsource_sql, needs_linear, test_sql
 from ..plans.rules import Identifier, LogSource, Rule, Test, parse_rule, split_documents
 
 #: The map column of events that have one, and rules in one array expression.
@@ -96,12 +97,25 @@ def _compile(rule: Rule, mapping: FieldMapping) -> Compiled:
     return Compiled(rule, tuple(nodes), tuple(warnings))
 
 
+def _linear_match(values, patterns, modifiers, every):
+    flags = tuple(modifiers)
+    join = all if every else any
+    return any(join(search(p, flags, v) for p in patterns) for v in values)
+
+
+def prepare(spark: SparkSession, rules: RuleSet) -> None:
+    """Gives the session the function for patterns that a backtracking matcher could take for ever on, if a rule has some."""
+    if any(needs_linear(t) for c in rules.compiled for i in c.rule.identifiers for g in i.groups for t in g):
+        # Called non-deterministic so that the optimizer does not move it into array functions, which cannot call Python.
+        spark.udf.register(LINEAR_MATCH, F.udf(_linear_match, "boolean", useArrow=True).asNondeterministic())
+
+
 def layout_of(events: DataFrame, rules: RuleSet, key: str) -> Layout:
     """Events with a map of arrays in `fields` are in the map layout; of others all columns but the key are fields."""
     kind = next((f.dataType for f in events.schema if f.name == FIELDS), None)
     if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.ArrayType):
         return MapEvents(FIELDS, rules.mapping)
-    return Columns([f.name for f in events.schema if f.name != key and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))], rules.mapping)
+    return Columns([f.name for f in events.schema if f.name != key and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))], rules.mapping, {})
 
 
 def _rule_sql(compiled: Compiled, layout: Layout) -> list[str]:
@@ -128,7 +142,15 @@ def _hits(rules: RuleSet, layout: Layout) -> list[str]:
 
 def matched(events: DataFrame, rules: RuleSet, key: str = "event_id") -> DataFrame:
     """events with `hits`: the places of the rules that hold, ascending."""
-    parts = _hits(rules, layout_of(events, rules, key))
+    layout = layout_of(events, rules, key)
+    return _matched(events, rules, layout, _hits(rules, layout)).drop(*(layout.linear or {}).values())
+
+
+def _matched(events: DataFrame, rules: RuleSet, layout: Layout, parts: list[str]) -> DataFrame:
+    """Results of automata stay as columns, as details may need them."""
+    prepare(events.sparkSession, rules)
+    if layout.linear:
+        events = events.selectExpr("*", *(f"{sql} AS {name}" for sql, name in layout.linear.items()))
     if not parts:
         return events.withColumn("hits", F.array().cast("array<int>"))
     columns = [f"__hits{i}" for i in range(len(parts))]
@@ -139,8 +161,7 @@ def matched(events: DataFrame, rules: RuleSet, key: str = "event_id") -> DataFra
 def detect(events: DataFrame, rules: RuleSet, key: str = "event_id", keep: list[str] | None = None) -> DataFrame:
     """Alerts: the key, ALERT's columns, and the columns named in keep. One row for each event and rule that holds."""
     layout = layout_of(events, rules, key)
-    hits = matched(events, rules, key).filter(F.size("hits") > 0).withColumn("rule_idx", F.explode("hits"))
-    spark = events.sparkSession
+    spark, parts = events.sparkSession, _hits(rules, layout)
     # Details are computed for hits only, each by its rule's branch.
     details = "CAST(NULL AS STRUCT<conditions: ARRAY<INT>, identifiers: ARRAY<STRING>>)"
     for at in reversed(range(0, rules.rule_count, CHUNK)):
@@ -153,6 +174,7 @@ def detect(events: DataFrame, rules: RuleSet, key: str = "event_id", keep: list[
         if whens:
             part = f"CASE rule_idx {' '.join(whens)} END"
             details = part if rules.rule_count <= CHUNK else f"CASE WHEN rule_idx >= {at} AND rule_idx < {at + CHUNK} THEN {part} ELSE {details} END"
+    hits = _matched(events, rules, layout, parts).filter(F.size("hits") > 0).withColumn("rule_idx", F.explode("hits"))
     found = hits.selectExpr(*dict.fromkeys([f"`{key}`", *(f"`{c}`" for c in keep or [])]), "rule_idx", f"{details} AS details")
     # One row for each rule, which is bounded by the rules that the driver holds.
     table = F.broadcast(rules.table(spark).select("rule_idx", "rule_id", "rule_title", "rule_level", "tags", "score"))
@@ -187,6 +209,8 @@ def compile_rule(text: str, columns: list[str], mapping: FieldMapping | None = N
     """A whole rule, with its log source, as a column over events in columns."""
     rules = RuleSet(mapping)
     rules.load_rule(text)
+    if spark := SparkSession.getActiveSession():
+        prepare(spark, rules)
     layout = Columns(columns, rules.mapping)
     own = rules.compiled[0]
     return F.expr(all_of([logsource_sql(own.rule.logsource, layout), any_of(_rule_sql(own, layout))]))

@@ -7,9 +7,10 @@ all values of the key. Every test is wrapped so that it is true or false and nev
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from ..functions.fields import FieldMapping
+from ..functions.linear import Unsupported, automaton_of, is_risky
 from ..functions.network import in_network
 from ..functions.numbers import compare, operator_of
 from ..functions.regex import java_regex
@@ -19,6 +20,9 @@ from ..functions.wildcard import java_pattern, literal_of
 from .condition import Node
 from .rules import Identifier, LogSource, Scalar, Test
 
+#: The function that a session has to have for patterns that could backtrack for ever: (values, patterns, modifiers, every) to boolean.
+LINEAR_MATCH = "tamarack_linear_match"
+
 #: SQL of a test of one value, given SQL of the value and of its lower case.
 Predicate = Callable[[str, str], str]
 
@@ -29,6 +33,8 @@ class Columns:
 
     columns: list[str]
     mapping: FieldMapping
+    #: Names of the columns that are to hold results of automata beforehand, by their SQL, as array functions cannot call Python.
+    linear: dict[str, str] | None = None
 
     def _found(self, field: str) -> list[str]:
         keys = self.mapping.keys_of(field)
@@ -44,6 +50,11 @@ class Columns:
         found = self._found(field) if field else self.columns
         return any_of([f"coalesce({test(self._text(c), f'lower({self._text(c)})')}, false)" for c in found])
 
+    def array(self, field: str) -> str:
+        """All values of the field."""
+        found = self._found(field) if field else self.columns
+        return f"array_compact(array({', '.join(map(self._text, found))}))" if found else "CAST(array() AS ARRAY<STRING>)"
+
     def has(self, field: str, test: str) -> str:
         """test, if the field is present."""
         return all_of([self.present(field) if field else any_of([f"{sql_name(c)} IS NOT NULL" for c in self.columns]), test])
@@ -59,6 +70,7 @@ class MapEvents:
 
     column: str
     mapping: FieldMapping
+    linear: dict[str, str] | None = field(default_factory=dict)
 
     def _values(self, field: str) -> str:
         parts = [f"{sql_name(self.column)}[{sql_str(k)}]" for k in self.mapping.keys_of(field)]
@@ -67,6 +79,9 @@ class MapEvents:
     def present(self, field: str) -> str:
         return any_of([f"coalesce(map_contains_key({sql_name(self.column)}, {sql_str(k)}), false)" for k in self.mapping.keys_of(field)])
 
+    def array(self, field: str) -> str:
+        return f"coalesce({self._values(field) if field else f'flatten(map_values({sql_name(self.column)}))'}, array())"
+
     def any(self, field: str, test: Predicate) -> str:
         values = self._values(field) if field else f"flatten(map_values({sql_name(self.column)}))"
         return f"coalesce(exists({values}, v -> coalesce({test('v', 'lower(v)')}, false)), false)"
@@ -106,6 +121,21 @@ def value_test(value: Scalar, modifiers: tuple[str, ...]) -> Predicate:
     return lambda raw, low: f"{kind}({low}, {literal})"
 
 
+def needs_linear(test: Test) -> bool:
+    """Whether a pattern of the test is left to the automaton."""
+    if "re" not in test.modifiers:
+        return False
+    for value in transformed(list(test.values), test.modifiers):
+        text = value_text(value)
+        java_regex(text, test.modifiers)
+        try:
+            if is_risky(text) and automaton_of(text, test.modifiers):
+                return True
+        except Unsupported:
+            continue
+    return False
+
+
 def _expects_presence(test: Test) -> bool:
     value = test.values[0] if test.values else True
     if isinstance(value, (bool, int)):
@@ -129,6 +159,12 @@ def test_sql(test: Test, layout: Layout) -> str:
     values = transformed(list(test.values), modifiers)
     if not values:
         return layout.has(test.field, "true") if every else "false"
+    if needs_linear(test):
+        listed = lambda items: f"array({', '.join(map(sql_str, items))})"
+        call = f"coalesce({LINEAR_MATCH}({layout.array(test.field)}, {listed([value_text(v) for v in values])}, {listed(modifiers)}, {str(every).lower()}), false)"
+        if layout.linear is None:
+            return call
+        return sql_name(layout.linear.setdefault(call, f"__linear{len(layout.linear)}"))
     tests = [value_test(v, modifiers) for v in values]
     join = all_of if every else any_of
     return layout.any(test.field, lambda raw, low: join([f"coalesce({t(raw, low)}, false)" for t in tests]))

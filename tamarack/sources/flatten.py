@@ -89,7 +89,7 @@ def flatten_value(value: Any, options: FlattenOptions = FlattenOptions()) -> dic
         out.setdefault(path, text)
 
     def walk(node: Any, path: str, depth: int) -> None:
-        if isinstance(node, (dict, list)) and depth > options.max_depth:
+        if depth > options.max_depth:
             raise FlattenError("flatten_depth", f"deeper than {options.max_depth}")
         if isinstance(node, dict):
             for key in sorted(node, key=lambda k: k.encode("utf-8", "surrogatepass")):
