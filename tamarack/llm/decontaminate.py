@@ -165,5 +165,5 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that hold an item. Rows that repeat their id go if one of them does."""
-    gone = stored(find(docs, benchmark, threshold).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = stored(find(docs, benchmark, threshold).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

@@ -29,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import delete_path, path_exists, require, scratch_path, text_of
 
 #: Rows that a memtable holds before it is flushed, and digests that one shard holds on average.
 MEMTABLE_ROWS = 1 << 18
 SHARD_ROWS = 1 << 18
-FILTER_BITS_PER_KEY, FILTER_HASHES = 12, 4
-#: Bits of the filter that goes to all tasks for verification: 1 MB at most.
-VERIFY_BITS = 1 << 23
+FILTER_BITS_PER_KEY = 12
 
 RUN_SCHEMA = "shard long, run string, n long, digests binary, least binary, most binary, rows binary, filter binary"
 HIT_SCHEMA = "digest binary, least_id long, most_id long, group_size long"
@@ -51,26 +50,13 @@ def _words(digests: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(digests[:, :16]).view(">u8").astype(np.uint64)
 
 
-def make_filter(digests: np.ndarray, bits: int | None = None) -> np.ndarray:
+def make_filter(digests: np.ndarray) -> np.ndarray:
     """A Bloom filter; its size is a power of two, so that a smaller one tiles to the size of a larger one."""
-    bits = bits or 1 << max(6, (len(digests) * FILTER_BITS_PER_KEY - 1).bit_length())
-    out = np.zeros(bits, bool)
-    for at in _places(digests, bits):
-        out[at] = True
-    return np.packbits(out)
-
-
-def _places(digests: np.ndarray, bits: int) -> list[np.ndarray]:
-    a, b = _words(digests).T
-    return [((a + np.uint64(i) * (b | np.uint64(1))) % np.uint64(bits)).astype(np.int64) for i in range(FILTER_HASHES)]
+    return bloom.make(_words(digests), 1 << max(6, (len(digests) * FILTER_BITS_PER_KEY - 1).bit_length()))
 
 
 def may_contain(packed: np.ndarray, digests: np.ndarray) -> np.ndarray:
-    bits = len(packed) * 8
-    ok = np.ones(len(digests), bool)
-    for at in _places(digests, bits):
-        ok &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    return ok
+    return bloom.may_contain(packed, _words(digests))
 
 
 def merged(digests: np.ndarray, least: np.ndarray, most: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -149,37 +135,6 @@ def compact(runs: DataFrame) -> DataFrame:
     return runs.groupBy("shard").applyInArrow(run, HIT_SCHEMA)
 
 
-def verify_filter(hits: DataFrame, n_hits: int) -> bytes:
-    """A Bloom filter of the hits, of a size bounded by VERIFY_BITS; combined from one filter of each task."""
-    bits = min(VERIFY_BITS, max(1 << 13, 1 << (n_hits * 10).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            if batch.num_rows:
-                total |= make_filter(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 32), bits)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["f"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    for row in hits.select("digest").coalesce(16).mapInArrow(run, "f binary").toLocalIterator():
-        out |= np.frombuffer(row["f"], np.uint8)
-    return out.tobytes()
-
-
-def maybe_hit(docs: DataFrame, packed: bytes) -> DataFrame:
-    """Rows (digest, text) that the filter lets through: all hits and few others."""
-    known = docs.sparkSession.sparkContext.broadcast(packed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(known.value, np.uint8)
-        for batch in batches:
-            if batch.num_rows:
-                d = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 32)
-                yield batch.filter(pa.array(may_contain(bits, d)))
-
-    return docs.select("digest", "text").mapInArrow(run, "digest binary, text string")
-
-
 def _ids(column: str, keep: str) -> tuple[Column, int]:
     """Ids in which null loses to every other, and the number that stands for null."""
     if keep not in ("least", "most"):
@@ -203,7 +158,8 @@ def resolve(docs: DataFrame, keep: str = "least", id_column: str = "doc_id") ->
     keeper = "most_id" if keep == "most" else "least_id"
 
     # Bytes of all hits, one row for each text of a digest.
-    seen = maybe_hit(rows, verify_filter(hits, hits.count())).join(hits.select("digest"), "digest", "left_semi")
+    likely = bloom.passing(rows.select("digest", "text"), "digest", bloom.bloom_of(hits.select("digest"), hits.count()))
+    seen = likely.join(hits.select("digest"), "digest", "left_semi")
     texts = seen.groupBy("digest", "text").agg(F.lit(1).alias("one"))
     path = scratch_path(spark, "collisions")
     texts.groupBy("digest").count().filter("count > 1").select("digest").write.parquet(path)
@@ -234,16 +190,16 @@ def deduplicated(docs: DataFrame, keep: str = "most") -> DataFrame:
     """
     gone = resolve(docs, keep)
     # Rows to drop are few; ids that stay but repeat are thinned by id and text.
-    drop = gone.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), "digest")
-    again = gone.filter(F.col("kept") & (F.col("group_size") > 1)).groupBy(F.col("doc_id").alias("_id"), "digest").count().filter("count > 1").drop("count")
+    drop = gone.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__mark"))
+    again = gone.filter(F.col("kept") & (F.col("group_size") > 1)).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__mark")).count().filter("count > 1").drop("count")
     path = scratch_path(docs.sparkSession, "drop")
-    drop.withColumn("repeated", F.lit(False)).unionByName(again.withColumn("repeated", F.lit(True))).distinct().write.parquet(path)
-    marks = docs.sparkSession.read.schema("_id long, digest binary, repeated boolean").parquet(path)
-    tagged = docs.withColumn("_digest", digest_of(text_of())).join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("digest")), "left")
-    once = tagged.filter(F.col("repeated").isNull())
-    if marks.filter("repeated").isEmpty():
+    drop.withColumn("__repeated", F.lit(False)).unionByName(again.withColumn("__repeated", F.lit(True))).distinct().write.parquet(path)
+    marks = docs.sparkSession.read.schema("__id long, __mark binary, __repeated boolean").parquet(path)
+    tagged = docs.withColumn("__digest", digest_of(text_of())).join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__mark")), "left")
+    once = tagged.filter(F.col("__repeated").isNull())
+    if marks.filter("__repeated").isEmpty():
         return once.select(docs.columns)
-    thinned = tagged.filter("repeated").dropDuplicates(["doc_id", "_digest"])
+    thinned = tagged.filter("__repeated").dropDuplicates(["doc_id", "__digest"])
     return once.unionByName(thinned).select(docs.columns)
 
 

@@ -190,7 +190,7 @@ def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         start = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), np.diff(doc[kept]) != 0]))
         samples = sample(own, np.log(w).astype(np.float32), start)
         bands, lanes = bands_of(samples), lanes_of(samples)
-        for i, (a, b) in enumerate(zip(start, np.append(start[1:], len(own)), strict=True)):
+        for i, (a, b) in enumerate(zip(start, np.append(start, len(own))[1:], strict=True)):
             shingles, counts = own[a:b], tf[a:b]
             same = hashlib.blake2b(shingles.tobytes() + counts.astype(np.int64).tobytes(), digest_size=16).digest()
             out.append((ids[number[i]], same, float(total[i]), bands[i].tolist(), lanes[i].tolist(), pack_sorted(shingles), pack_counts(counts), pack_counts(df[a:b])))
@@ -314,6 +314,6 @@ def has_words(text: Column) -> Column:
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that are not their class's first. Rows that repeat their id stay or go together."""
-    gone = classes(docs, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    gone = classes(docs, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
     gone = stored(gone, "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")

@@ -32,7 +32,7 @@ from .words import mix
 
 ORDER = 4
 PAD, REPEAT, END = "\x01", "\x02", "\x03"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SHRINK = 60
 QUANTILE = 0.995
 LEAST_CALIBRATION = 100
@@ -55,8 +55,8 @@ def ngrams(units: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
 
     An n-gram a b c d stands as the number b c a d, 16 bits each.
     """
-    text = np.repeat(np.arange(len(offset) - 1), np.maximum(np.diff(offset) - ORDER + 1, 0))
-    at = np.arange(len(text)) + text * (ORDER - 1)
+    text = np.repeat(np.arange(len(offset) - 1, dtype=np.int32), np.maximum(np.diff(offset) - ORDER + 1, 0))
+    at = np.arange(len(text), dtype=np.int32) + text * np.int32(ORDER - 1)
     seen = np.bincount(units, minlength=1 << 16) > 0
     rank = (np.cumsum(seen) - 1).astype(np.uint64)[units]
     width = np.uint64(max(1, int(seen.sum() - 1).bit_length()))
@@ -64,6 +64,7 @@ def ngrams(units: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
     for i in (1, 2, 0, 3):
         whole = (whole << width) | rank[i : len(rank) - ORDER + 1 + i]
     key = whole[at]
+    del rank, whole
     bits = np.uint64(max(1, len(key).bit_length()))
     if 4 * int(width) + int(bits) <= 64:
         both = np.sort((key << bits) | np.arange(len(key), dtype=np.uint64))
@@ -209,7 +210,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     require(docs, "doc_id", "text")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     _, n_blocks = block_count(docs, text_of(), BLOCK_BYTES)
-    n_shards = max(4, n_blocks // 8)
+    n_shards = max(4, n_blocks // 16)
     block = lambda *k: F.pmod(F.xxhash64(F.coalesce(*k)), F.lit(n_blocks)).cast("long").alias("block")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_of().alias("text"), block(F.col("doc_id").cast("string"), text_of()))
     known = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
@@ -292,5 +293,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
 def filtered(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs without rejected rows. Rows that repeat their id go if one of them is rejected."""
-    gone = stored(classify(docs, labels, quantile).filter("rejected").select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone = stored(classify(docs, labels, quantile).filter("rejected").select(F.col("doc_id").alias("__id")).distinct(), "rejected")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")

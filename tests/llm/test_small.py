@@ -1,0 +1,491 @@
+"""Exact results against plain Python on small tables with nulls, empty and long texts, ties, repeats and extra columns."""
+
+import hashlib
+import math
+import os
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tamarack.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, pack, pii, quality, token_counts, warc, words
+from tamarack.llm import sentencepiece as sp
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, same long, block string"
+LONG = "lorem ipsum dolor sit amet " * 8000
+
+
+def table(spark, rows):
+    """Rows of (doc_id, text, lang), with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, lang, "s", None, "x", 7, "b") for i, t, lang in rows], SCHEMA)
+
+
+ODD = [(1, "same text here", "en"), (2, "same text here", "en"), (2, "same text here", "en"), (3, None, None), (4, "", "en"), (5, "Same text here", "fr"), (None, "same text here", "en"), (None, None, None), (6, LONG, "en"), (7, LONG, "en"), (8, " \n\t ", "de"), (9, "\u0000\U0001f600 ünï", "de")]
+
+
+# exact duplicates
+
+
+def brute_exact(rows, keep):
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[t or ""].append(i)
+    pick = lambda ids: (max if keep == "most" else min)([i for i in ids if i is not None], default=None)
+    return sorted(((i, pick(groups[t or ""]), len(groups[t or ""]), i == pick(groups[t or ""])) for i, t, _ in rows), key=str)
+
+
+@pytest.mark.parametrize("keep", ["least", "most"])
+def test_exact_dedup(spark, keep):
+    found = exact_dedup.resolve(table(spark, ODD), keep).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, found), key=str) == brute_exact(ODD, keep)
+
+
+def test_exact_dedup_filtering(spark):
+    kept = exact_dedup.deduplicated(table(spark, ODD), "most")
+    assert kept.columns == table(spark, ODD).columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 4, 5, 7, 8, 9], key=str)
+    assert exact_dedup.digest(table(spark, [])).count() == 0
+
+
+def test_a_digest_that_two_texts_share(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda text: F.unhex(F.sha2(F.substring(text, 1, 4), 256)))
+    rows = [(1, "same one", "en"), (2, "same two", "en"), (3, "same one", "en"), (4, "other", "en")]
+    found = exact_dedup.resolve(table(spark, rows), "most").select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, found), key=str) == brute_exact(rows, "most")
+
+
+def test_runs_and_compaction():
+    rng = np.random.default_rng(0)
+    runs, want = [], Counter()
+    for r in range(5):
+        d = np.frombuffer(b"".join(hashlib.sha256(bytes([x])).digest() for x in rng.integers(0, 60, 30)), np.uint8).reshape(-1, 32)
+        want.update(x.tobytes() for x in d)
+        m = exact_dedup.merged(d, np.arange(30) + 100 * r, np.arange(30) + 100 * r, np.ones(30, np.int64))
+        runs.append((*m, exact_dedup.make_filter(m[0])))
+    digests, least, most, rows = exact_dedup.hits_of(runs)
+    assert {d.tobytes(): n for d, n in zip(digests, rows, strict=True)} == {k: n for k, n in want.items() if n > 1}
+    assert (least <= most).all()
+
+
+def test_index_on_disk(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", shards=3)
+    a, b = table(spark, [(5, "x", ""), (4, "y", "")]), table(spark, [(3, "x", ""), (9, "z", "")])
+    assert index.lookup(a).filter("keep_id is not null").count() == 0
+    index.append(a, "a")
+    index.append(a, "a")
+    index.append(b, "b")
+    want = {5: 3, 4: 4}
+    assert {r["doc_id"]: r["keep_id"] for r in index.lookup(a).collect()} == want
+    index.compact()
+    assert {r["doc_id"]: r["keep_id"] for r in index.lookup(a).collect()} == want
+    assert {r["doc_id"]: r["keep_id"] for r in index.lookup(table(spark, [(1, "new", "")])).collect()} == {1: None}
+
+
+# near duplicates
+
+
+def word_list(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def brute_near(rows, threshold=0.8):
+    bags = []
+    for _, t, _ in rows:
+        w = word_list(t)
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    df = Counter(s for b in bags for s in b)
+    weight = lambda s, n: n * math.log1p(len(rows) / df[s])
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = bags[i], bags[j]
+            low = sum(weight(s, min(a[s], b[s])) for s in a.keys() & b.keys())
+            high = sum(weight(s, max(a[s], b[s])) for s in a.keys() | b.keys())
+            if high and low / high >= threshold:
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        least[find(i)].append(r[0])
+    pick = lambda ids: min((x for x in ids if x is not None), default=None)
+    return sorted(((r[0], pick(least[find(i)])) for i, r in enumerate(rows)), key=str)
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.integers(len(w))] = f"edit{rng.integers(10**6)}"
+    return " ".join(w)
+
+
+def test_near_dedup(spark):
+    rng = np.random.default_rng(3)
+    make = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    rows, i = [], 100
+    for size in (60, 200, 400):
+        base = make(size)
+        for k in range(7):
+            rows.append((i, edited(rng, base, k * size // 200), "en"))
+            i += 1
+        rows.append((i, base.upper().replace(" ", ", ") + "!", "en"))
+        i += 1
+    common = make(60)
+    rows += [(i + k, f"{common} {make(150)}", "en") for k in range(12)]
+    rows += [(1000, "one two", "en"), (1001, "One, two", "en"), (1002, "one", "en")] + ODD
+    found = near_dedup.classes(table(spark, rows))
+    assert sorted(((r["doc_id"], r["class_id"]) for r in found.collect()), key=str) == brute_near(rows)
+    assert found.filter("kept").count() == found.filter("doc_id <=> class_id").count()
+
+
+def test_near_dedup_of_a_large_group(spark):
+    """One group of near copies, in which every copy differs from the others."""
+    rng = np.random.default_rng(5)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 9000, 300))
+    rows = [(k, edited(rng, base, int(rng.integers(0, 6))), "en") for k in range(120)]
+    assert sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.classes(table(spark, rows)).collect()), key=str) == brute_near(rows)
+
+
+def test_near_dedup_of_nothing(spark):
+    assert near_dedup.classes(table(spark, [])).count() == 0
+    assert near_dedup.deduplicated(table(spark, [(1, "a b c d e f", "en")])).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(b"%d" % a, b"%d" % b) for a, b in [(1, 2), (2, 3), (3, 4), (7, 8), (9, 8), (5, 5)]], "a binary, b binary")
+    roots = {bytes(r["node"]).decode(): bytes(r["root"]).decode() for r in near_dedup.components(edges.filter("a <> b")).collect()}
+    assert roots == {"1": "1", "2": "1", "3": "1", "4": "1", "7": "7", "8": "7", "9": "7"}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet="ab Z9é-\n", max_size=30), max_size=6))
+def test_shingles(texts):
+    hashes, offset = words.shingle_hashes(texts)
+    own = [hashes[a:b].tolist() for a, b in zip(offset[:-1], offset[1:], strict=True)]
+    for t, h in zip(texts, own, strict=True):
+        w = word_list(t)
+        s = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        assert len(h) == len(s) and len(set(h)) == len(set(s))
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=20))
+def test_packing(values):
+    v = np.sort(np.array(values, np.uint64))
+    assert (pack.unpack_sorted(pack.pack_sorted(v)) == v).all()
+    n = (v & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    assert (pack.unpack_counts(pack.pack_counts(n)) == n).all()
+
+
+# decontamination
+
+
+def test_decontamination(spark):
+    rng = np.random.default_rng(2)
+    make = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 900, n))
+    items = [(k, make(n)) for k, n in enumerate((20, 33, 50, 7, 3, 5))] + [(90, ""), (91, None), (92, "one two one two one two one two one two"), (33, make(20))]
+    rows, i = [], 0
+    for k, t in items:
+        for edits in (0, 0, 1, 2):
+            w = (t or "").split()
+            for _ in range(edits):
+                if w:
+                    w[-1 - int(rng.integers(min(2, len(w))))] = "changed"
+            rows.append((i, f"{make(int(rng.integers(0, 40)))} {' '.join(w).upper()}. {make(int(rng.integers(0, 40)))}", "en"))
+            i += 1
+    rows += ODD + [(900, "one two " * 60, "en")]
+    split = lambda s: [w for w in re.split(r"[\W_]+", (s or "").lower()) if w]
+    want = {}
+    for item, t in items:
+        b = split(t)
+        if not b:
+            continue
+        k = min(5, len(b))
+        bag = lambda w: Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))  # noqa: B023, E731
+        own = bag(b)
+        for doc, text, _ in rows:
+            w, best = split(text), 0.0
+            for a in range(max(1, len(w) - k + 1)):
+                x = bag(w[a : a + len(b)])
+                keys = own.keys() | x.keys()
+                best = max(best, sum(len(set(s)) * min(own[s], x[s]) for s in keys) / sum(len(set(s)) * max(own[s], x[s]) for s in keys))
+            if best >= 0.8:
+                want[doc, item] = max(best, want.get((doc, item), 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find(table(spark, rows), bench).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    kept = decontaminate.cleaned(table(spark, rows), bench)
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in want}
+    assert decontaminate.find(table(spark, []), bench).count() == 0 == decontaminate.find(table(spark, rows), bench.limit(0)).count()
+
+
+def test_fingerprints(spark):
+    hashes = [int(x) for x in np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 31)]
+    want = sum(1 << b for b in range(64) if sum((h >> b) & 1 for h in hashes) * 2 > 31)
+    got = spark.createDataFrame([(hashes,)], "h array<long>").select(decontaminate.fingerprint(F.col("h"))).first()[0]
+    assert got & (2**64 - 1) == want
+
+
+# SentencePiece
+
+MODEL = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files")
+
+
+@needs_model
+def test_sentencepiece(spark):
+    data = sp.read_model(spark, MODEL)
+    rows = sp.encode(table(spark, ODD + [(20, "a  b ▁ c", "en"), (21, "日本 😀 <s> <0x41>", "ja")]), data, parity=True).collect()
+    assert all(r["parity"] and r["round_trip"] for r in rows) and len(rows) == len(ODD) + 2
+    back = sp.decode(spark.createDataFrame([(r["doc_id"], r["ids"]) for r in rows], "doc_id long, ids array<int>"), data)
+    texts = {r["doc_id"]: r["text"] for r in back.collect()}
+    assert texts[9] == ODD[-1][1] and texts[4] == "" and texts[6] == LONG
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def test_unigram_models():
+    """A small model of the other kind, written here byte by byte."""
+    import struct
+
+    field = lambda n, kind, body: varint(n << 3 | kind) + body
+    piece = lambda p, s, k: field(1, 2, varint(len(b := field(1, 2, varint(len(p.encode())) + p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, varint(k)))) + b)
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{i:02X}>", 0, 6) for i in range(256)] + [("▁", -3, 1), ("▁the", -1, 1), ("a", -4, 1), ("t", -4, 1), ("he", -3, 1), ("▁a", -2, 1), ("at", -2.5, 1), ("h", -5, 1), ("e", -5, 1)]
+    trainer, normal = field(3, 0, varint(1)) + field(35, 0, varint(1)), field(4, 0, varint(1))
+    data = b"".join(piece(*p) for p in pieces) + field(2, 2, varint(len(trainer)) + trainer) + field(3, 2, varint(len(normal)) + normal)
+    from sentencepiece import SentencePieceProcessor
+
+    own, other = sp.Encoder(data), SentencePieceProcessor(model_proto=data)
+    texts = ["the at", "  that   he ", "", "z the", "athe ü"]
+    ids, ends = own.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == other.encode(t)
+
+
+# languages
+
+
+def test_language_id(spark):
+    rng = np.random.default_rng(0)
+    words_of = {"en": "the and that with from this which have".split(), "de": "der und nicht eine werden über schön".split(), "fr": "être avec dans pour élève garçon où".split()}
+    rows = [(k, " ".join(rng.choice(words_of[lang], 12)), lang) for k in range(300) for lang in [("en", "de", "fr")[k % 3]]]
+    model = language_id.train(table(spark, rows[:200] + ODD).filter("lang in ('en', 'de', 'fr') and doc_id > 9"))
+    found = {r["doc_id"]: r for r in language_id.predict(table(spark, rows[200:] + ODD), model).collect()}
+    assert np.mean([found[i]["lang_pred"] == lang for i, _, lang in rows[200:]]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    assert found[3]["lang_pred"] == found[4]["lang_pred"] == found[8]["lang_pred"] == "und" and found[3]["rejected"]
+    nothing = language_id.train(table(spark, []))
+    assert language_id.predict(table(spark, rows[:3]), nothing).select("lang_pred").distinct().first()[0] == "und"
+
+
+def test_long_texts_are_taken_whole():
+    model = language_id.Model(["a"], np.random.default_rng(0).normal(size=(language_id.BUCKETS, 1)).astype(np.float32), np.zeros(1), 1.0, 0.0)
+    text = "abc déf " * 3000
+    f = language_id.features(text)
+    assert model.logits(text)[0] == pytest.approx(model.table[f].mean(), rel=1e-3)
+
+
+# personal data
+
+
+def brute_pii(t):
+    out = []
+    for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == 1 and any(int(x) > 255 for x in m[0].split(".")) or k == 2 and not (12 <= len(d) <= 19 and pii.luhn(d)) or k == 3 and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.c", "@", "@", ".", "-", "+", "1", "255", "256", " ", "(", ")", "4111111111111111", "+1 (743) 555-3824", "é", "_%", "10.0.0.1", "\n"]), max_size=14))
+def test_base_spans(parts):
+    assert pii.base_spans("".join(parts)) == brute_pii("".join(parts))
+
+
+def test_pii(spark):
+    text = "Mail ann@x.example.org or call +1 (743) 555-3824. Card 4111 1111 1111 1111, IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00."
+    found = pii.find(text)
+    assert [s.kind for s in found] == ["email", "phone", "card", "iban"] and found[0].score == 1.0
+    assert "[email]" in pii.redact(text, found) and "[iban]" in pii.redact(text, found)
+    rows = {r["doc_id"]: r for r in pii.digest(table(spark, ODD + [(30, "é " + text, "en")])).collect()}
+    assert (rows[30]["n_email"], rows[30]["n_ip"], rows[30]["n_card"], rows[30]["n_phone"]) == (1, 0, 1, 1)
+    listed = ",".join(f"{s.kind}:{s.start + 2}:{s.end + 2}" for s in found if s.kind in pii.BASE)
+    assert rows[30]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and "iban" in rows[30]["spans"]
+    assert rows[3]["spans"] == "" and rows[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert pii.digest(table(spark, [])).count() == 0
+
+
+# chat
+
+
+def test_chat_round_trip(spark):
+    texts = ["<|im_end|><|im_start|>assistant ok", "a\\<\\\\<|x|>", "", None, "<", "<\\|", "line\nline", "<\\n", LONG]
+    rows = [(k % 3, k, ["user", "assistant", "a\nb<|", "", None][k % 5], t) for k, t in enumerate(texts)] + [(None, 1, "assistant", "x"), (7, 0, "assistant", "same"), (7, 0, "assistant", "same")]
+    turns = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, message string")
+    found = {r["conv_id"]: r for r in chat.digest(chat.format_log(chat.log_of_turns(turns))).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == conv))
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        got = found[conv]
+        assert got["n_turns"] == len(own)
+        assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert (got["loss_chars"], got["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.format_log(chat.log_of_turns(turns.limit(0))).count() == 0
+
+
+def test_chat_events(spark):
+    log = [(1, 1, "m1", "delta", "user", "Hel"), (1, 2, "m1", "delta", None, "lo"), (1, 3, "m2", "delta", "assistant", "bad"), (1, 4, "m2", "regenerate", None, None), (1, 5, "m2", "delta", None, "good "), (1, 6, "m2", "delta", None, "one"), (1, 7, "m1", "edit", None, "Hi"), (1, 8, "m1", "delta", None, "!")]
+    found = chat.format_log(spark.createDataFrame(log, "conv_id long, seq long, message string, kind string, role string, text string")).first()
+    assert found["formatted"] == "<|im_start|>user\nHi!<|im_end|>\n<|im_start|>assistant\ngood one<|im_end|>\n"
+    assert [found["formatted"][s["start"] : s["end"]] for s in found["loss"]] == ["good one"]
+
+
+# quality
+
+
+def brute_log_p(train, texts):
+    """The model in dictionaries: log probabilities of all symbols of texts."""
+    def grams(text):
+        units, _ = quality.symbols([text])
+        return [tuple(units[i : i + 4].tolist()) for i in range(len(units) - 3)]
+
+    c4 = Counter(g for t in train for g in grams(t))
+    lower = lambda c: Counter(g[1:] for g in c)
+    c3 = lower(c4)
+    c2 = lower(c3)
+    c1 = lower(c2)
+
+    orders = [c1, c2, c3, c4]
+    ds = [quality.discounts([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]) for c in orders]
+    tables = []
+    for c, dd in zip(orders, ds, strict=True):
+        total, left = Counter(), defaultdict(float)
+        for g, n in c.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += dd[min(n, 3) - 1]
+        tables.append((c, dd, total, left))
+
+    def p(g):
+        below = 1 / (len(c1) + 1) if len(g) == 1 else p(g[1:])
+        c, dd, total, left = tables[len(g) - 1]
+        if not total[g[:-1]]:
+            return below
+        n = c[g]
+        return (n - dd[min(n, 3) - 1] if n else 0) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * below
+
+
+    return [-sum(math.log(p(g)) for g in grams(t)) for t in texts]
+
+
+def test_quality_model(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    rng = np.random.default_rng(4)
+    vocabulary = ["the", "there", "then", "hat", "that", "at", "an", "and", "ant", "tan", "über", "😀"]
+    rows = [(k, " ".join(rng.choice(vocabulary, 30)), "en") for k in range(120)] + [(500, "zzz qqq the", "en"), (501, "the the the the", None), (502, None, "en"), (503, "  ", "en")]
+    docs, trusted = table(spark, rows), spark.createDataFrame([(k,) for k in range(100)], "doc_id long")
+    found = {r["doc_id"]: r for r in quality.scores(docs, trusted).collect()}
+    import zlib
+
+    train = [t for k, t, _ in rows if k < 100 and zlib.crc32(str(k).encode()) % 5]
+    want = brute_log_p(train, [t or "" for _, t, _ in rows])
+    for (k, t, _), w in zip(rows, want, strict=True):
+        if (t or "").split():
+            assert found[k]["nll"] == pytest.approx(w, rel=1e-4)
+    assert sum(r["calibrates"] for r in found.values()) == 100 - len(train)
+    verdict = {r["doc_id"]: r for r in quality.judged(quality.scores(docs, trusted)).collect()}
+    assert verdict[500]["rejected"] and verdict[502]["rejected"] and verdict[503]["perplexity"] is None and not verdict[110]["rejected"]
+
+
+def test_quality_without_trust(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.trusted_of(labels).count() == 0
+    assert [r["doc_id"] for r in quality.filtered(table(spark, [(1, "a b", "en"), (2, "", "en")]), labels).collect()] == [1]
+    assert quality.classify(table(spark, []), labels).count() == 0
+    assert quality.classify(table(spark, ODD), labels).count() == len(ODD)
+
+
+# token counts
+
+
+def change(op, group=None, n=None, old=None, old_n=None):
+    g, o = group or (None,) * 3, old or (None,) * 3
+    return (op, *g, n, n, *o, old_n, old_n)
+
+
+CHANGES = "op string, source string, lang string, version string, n_tokens long, n_chars long, old_source string, old_lang string, old_version string, old_tokens long, old_chars long"
+
+
+def test_rollups(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    totals = lambda: {(r["source"], r["lang"], r["version"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
+    batch = lambda *rows: spark.createDataFrame(list(rows), CHANGES)
+    a, b = ("s", "en", "v1"), ("s", None, "v2")
+    assert totals() == {}
+    one = batch(change("insert", a, 10), change("insert", a, 5), change("insert", b, 7))
+    assert rollup.commit("1", one) and not rollup.commit("1", one)
+    assert totals() == {a: (2, 15), b: (1, 7)}
+    rollup.commit("2", batch(change("revise", b, 12, a, 10), change("delete", old=b, old_n=7)))
+    assert totals() == {a: (1, 5), b: (1, 12)}
+    rollup.compact()
+    rollup.commit("2", one)
+    rollup.commit("3", batch(change("delete", old=a, old_n=5)))
+    rollup.commit("4", one.limit(0))
+    assert totals() == {b: (1, 12)}
+    rollup.compact()
+    assert totals() == {b: (1, 12)}
+    with pytest.raises(Exception, match="op is"):
+        rollup.commit("5", batch(change("other", a, 1)))
+    assert totals() == {b: (1, 12)}
+
+
+@pytest.mark.skipif(not os.path.exists(os.path.join(os.path.dirname(MODEL), "byte_bpe_50k.tiktoken")), reason="no tokenizer files")
+def test_token_counting(spark):
+    from tokenizers import Tokenizer
+
+    folder = os.path.dirname(MODEL)
+    ranks = sp.read_model(spark, f"{folder}/byte_bpe_50k.tiktoken")
+    other = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
+    rows = ODD + [(40, "Hello  world's 123 \n x", "en")]
+    for r, (_, t, _) in zip(token_counts.count_tokens(table(spark, rows).coalesce(1), ranks, "v").collect(), rows, strict=True):
+        assert r["n_tokens"] == len(other.encode(t or "", add_special_tokens=False).ids)
+
+
+# WARC
+
+
+def test_warc_audit(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 400)
+    monkeypatch.setattr(warc, "FAN", 2)
+    rows = [(k, f"http://h/{k}", "x" * (k % 50)) for k in range(200)] + [(None, None, None), (3, "http://h/3", "again"), (3, "http://h/3", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    same = warc.audit(warc.records_of(pages, 3), warc.records_of(pages, 3))
+    assert same.count() == len(rows) and same.filter("state <> 'intact'").isEmpty()
+    bad = warc.damaged(pages, F.col("page_id").isin(5, 77, 100))
+    found = warc.audit(warc.records_of(pages, 3), warc.records_of(bad, 3)).filter("state <> 'intact'").collect()
+    assert sorted((r["page_id"], r["state"]) for r in found) == [(5, "changed"), (77, "changed")]  # page 100 is empty
+    short = warc.audit(warc.records_of(pages, 3), warc.records_of(pages, 3).filter("page_id <> 9 or page_id is null"))
+    assert [(r["page_id"], r["state"]) for r in short.filter("state <> 'intact'").collect()] == [(9, "missing")]
+    more = warc.audit(warc.records_of(pages, 3).filter("page_id <> 9 or page_id is null"), warc.records_of(pages, 3))
+    assert [(r["page_id"], r["state"]) for r in more.filter("state <> 'intact'").collect()] == [(9, "extra")]
+    assert warc.audit(warc.records_of(pages.limit(0), 1), warc.records_of(pages.limit(0), 1)).count() == 0
+
+
+def test_merkle_roots_differ_with_order(spark):
+    a = spark.createDataFrame([(0, 0, "x"), (1, 0, "y")], "file long, node long, hash string")
+    b = spark.createDataFrame([(0, 0, "y"), (1, 0, "x")], "file long, node long, hash string")
+    assert warc.root_of([a]) != warc.root_of([b])
