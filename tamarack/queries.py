@@ -54,13 +54,13 @@ _simple("m0_exact", "events", "event_id", ["event_type"], _one("selection:\n  ev
 _simple("m0_wildcard", "pages", "page_id", ["url"], _one("selection:\n  url: 'http*://*/?*1*'"), "regexp_full_match(lower(url), 'http.*://.*/..*1.*', 's')")
 _simple("m1_contains", "documents", "doc_id", ["text"], _one("selection:\n  text|contains: ' The '"), "contains(lower(text), ' the ')")
 _simple("m2_startswith", "part", "p_partkey", ["p_type"], _one("selection:\n  p_type|startswith: [stan, 'ECO']"), "starts_with(lower(p_type), 'stan') OR starts_with(lower(p_type), 'eco')")
-_simple("m3_endswith", "part", "p_partkey", ["p_type"], _one("selection:\n  p_type|endswith: brass"), "ends_with(lower(p_type), 'brass')")
+_simple("m3_endswith", "part", "p_partkey", ["p_type"], _one("selection:\n  p_type|endswith: ium"), "ends_with(lower(p_type), 'ium')")
 _simple("m4_re", "documents", "doc_id", ["text"], _one("selection:\n  text|re: '\\b[a-z]{2}th[aeiou]+\\b'"), "regexp_matches(text, '(?i)\\b[a-z]{2}th[aeiou]+\\b')")
 _simple("m5_re_i", "documents", "doc_id", ["text"], _one("selection:\n  text|re|i: 'THE.{3}S'"), "regexp_matches(text, '(?i)THE.{3}S')")
 _simple("m6_re_m", "documents", "doc_id", ["text"], _one("selection:\n  text|re|m: '^th[a-z]+\\.$'"), "regexp_matches(text, '(?im)^th[a-z]+\\.$')")
 _simple("m7_re_s", "documents", "doc_id", ["text"], _one("selection:\n  text|re|s: 'the\\..tion'"), "regexp_matches(text, '(?is)the\\..tion')")
 _simple("m9_all", "documents", "doc_id", ["text"], _one("selection:\n  text|contains|all: [' the ', 'tion', 'shed']"), "contains(lower(text), ' the ') AND contains(lower(text), 'tion') AND contains(lower(text), 'shed')")
-_simple("m10_base64", "nation", "n_nationkey", ["b"], _one("selection:\n  b|base64|contains: GERMANY"), "SELECT n_nationkey AS k FROM nation WHERE contains(lower(to_base64(encode(upper(n_name)))), lower(to_base64(encode('GERMANY'))))", lambda d: d.withColumn("b", F.base64(F.upper("n_name").cast("binary"))))
+_simple("m10_base64", "nation", "n_nationkey", ["b"], _one("selection:\n  b|base64|startswith: NATION_1"), "SELECT n_nationkey AS k FROM nation WHERE starts_with(lower(to_base64(encode(upper(n_name)))), lower(to_base64(encode('NATION_1'))))", lambda d: d.withColumn("b", F.base64(F.upper("n_name").cast("binary"))))
 _simple("m11_base64offset", "nation", "n_nationkey", ["b"], _one("selection:\n  b|base64offset|contains: 'nation-7'"), "SELECT n_nationkey AS k FROM nation WHERE contains('see nation-' || CAST(n_nationkey AS VARCHAR) || ' now', 'nation-7')", lambda d: d.withColumn("b", F.base64(F.concat(F.lit("see nation-"), F.col("n_nationkey").cast("string"), F.lit(" now")).cast("binary"))))
 _simple("m12_wide", "region", "r_regionkey", ["w"], _one("selection:\n  w|wide|contains: SIA"), "SELECT r_regionkey AS k FROM region WHERE contains(lower(r_name), 'sia')", lambda d: d.withColumn("w", F.array_join(F.transform(F.split("r_name", ""), lambda c: F.concat(c, F.lit("\0"))), "")))
 _simple("m13_windash", "part", "p_partkey", ["c"], _one("selection:\n  c|windash|contains: ' -size 7'"), "SELECT p_partkey AS k FROM part WHERE starts_with(CAST(p_size AS VARCHAR), '7')", lambda d: d.withColumn("c", F.concat(F.lit("tool "), F.when(F.col("p_partkey") % 2 == 0, "/").otherwise("\u2013"), F.lit("size "), F.col("p_size").cast("string"))))
@@ -70,20 +70,20 @@ _simple("m16_lt", "customer", "c_custkey", ["c_acctbal"], _one("selection:\n  c_
 _simple("m17_lte", "lineitem", "l_orderkey", ["l_linenumber", "l_quantity"], _one("selection:\n  l_quantity|lte: 2\n  l_linenumber|gte: 3"), "l_quantity <= 2 AND l_linenumber >= 3")
 _simple("m20_keyword", "nation", "n_nationkey", ["n_name", "n_regionkey"], _one("keywords: [an, '3']", "keywords"), "contains(lower(n_name), 'an') OR contains(CAST(n_regionkey AS VARCHAR), '3')")
 _simple("m22_list", "events", "event_id", ["event_type"], _one("selection:\n  event_type: [click, signup, 'err*']"), "event_type IN ('click', 'signup') OR starts_with(event_type, 'err')")
-_simple("m8_cidr", "customer", "c_custkey", ["ip"], _one("selection:\n  ip|cidr: [10.0.16.0/20, 192.168.0.0/16]"), "SELECT c_custkey AS k FROM customer WHERE c_custkey % 65536 BETWEEN 4096 AND 8191", lambda d: d.withColumn("ip", F.concat_ws(".", F.lit("10"), F.lit("0"), (F.floor(F.col("c_custkey") / 256) % 256).cast("string"), (F.col("c_custkey") % 256).cast("string"))))
-_simple("m8_cidr6", "customer", "c_custkey", ["ip"], _one("selection:\n  ip|cidr: '2001:db8::1:0/116'"), "SELECT c_custkey AS k FROM customer WHERE c_custkey BETWEEN 0 AND 4095", lambda d: d.withColumn("ip", F.concat(F.lit(" 2001:DB8::1:"), F.hex("c_custkey"))))
+_simple("m8_cidr", "customer", "c_custkey", ["ip"], _one("selection:\n  ip|cidr: [10.0.4.0/23, 192.168.0.0/16]"), "SELECT c_custkey AS k FROM customer WHERE c_custkey % 65536 BETWEEN 1024 AND 1535", lambda d: d.withColumn("ip", F.concat_ws(".", F.lit("10"), F.lit("0"), (F.floor(F.col("c_custkey") / 256) % 256).cast("string"), (F.col("c_custkey") % 256).cast("string"))))
+_simple("m8_cidr6", "customer", "c_custkey", ["ip"], _one("selection:\n  ip|cidr: '2001:db8::1:0/118'"), "SELECT c_custkey AS k FROM customer WHERE c_custkey BETWEEN 0 AND 1023", lambda d: d.withColumn("ip", F.concat(F.lit(" 2001:DB8::1:"), F.hex("c_custkey"))))
 _simple("m18_exists", "documents", "doc_id", ["quality"], _one("selection:\n  quality|exists: false"), "SELECT d.doc_id AS k FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE l.doc_id IS NULL")
 _simple("m21_null", "conversations", "conv_id", ["turn", "t"], _one("selection:\n  t: null"), "SELECT conv_id AS k FROM conversations WHERE turn % 3 = 0", lambda d: d.withColumn("t", F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.col("text"))))
 _simple("m19_fieldref", "lineitem", "l_orderkey", ["l_returnflag", "l_linestatus", "l_linenumber"], _one("selection:\n  l_returnflag|fieldref: l_linestatus\nfilter:\n  l_linenumber: 1", "selection or filter"), "lower(l_returnflag) = lower(l_linestatus) OR l_linenumber = 1")
-_simple("m19_fieldref_contains", "conversations", "conv_id", ["role", "text"], _one("selection:\n  text|fieldref|contains: role"), "SELECT conv_id AS k FROM conversations WHERE contains(lower(text), lower(role))")
+_simple("m19_fieldref_contains", "part", "p_partkey", ["p_name", "w"], _one("selection:\n  p_name|fieldref|contains: w"), "SELECT p_partkey AS k FROM part WHERE contains(lower(p_name), chr(CAST(97 + p_partkey % 26 AS INT)))", lambda d: d.withColumn("w", F.expr("char(65 + p_partkey % 26)")))
 _simple("b2_and_or_not", "events", "event_id", ["event_type", "user_id"], _one("a:\n  event_type: click\nb:\n  user_id|gt: 50\nc:\n  event_type: view", "(a and not b) or c and b"), "(event_type = 'click' AND NOT user_id > 50) OR (event_type = 'view' AND user_id > 50)")
-_simple("b3_n_of", "part", "p_partkey", ["p_type", "p_size", "p_brand"], _one("s1:\n  p_type|contains: steel\ns2:\n  p_size|lt: 20\ns3:\n  p_brand|endswith: '3'", "2 of s*"), "CAST(contains(lower(p_type), 'steel') AS INT) + CAST(p_size < 20 AS INT) + CAST(ends_with(p_brand, '3') AS INT) >= 2")
-_simple("b4_all_of", "part", "p_partkey", ["p_type", "p_size"], _one("s1:\n  p_type|contains: steel\ns2:\n  p_size|lt: 20", "all of them"), "contains(lower(p_type), 'steel') AND p_size < 20")
-_simple("b7_explicit_list", "part", "p_partkey", ["p_type", "p_size", "p_brand"], _one("s1:\n  p_type|contains: steel\ns2:\n  p_size|lt: 3\nf:\n  p_brand|endswith: '3'", "1 of (s1, s2) and not 1 of f*"), "(contains(lower(p_type), 'steel') OR p_size < 3) AND NOT ends_with(p_brand, '3')")
+_simple("b3_n_of", "part", "p_partkey", ["p_type", "p_size", "p_brand"], _one("s1:\n  p_type|contains: ar\ns2:\n  p_size|lt: 20\ns3:\n  p_brand|endswith: '3'", "2 of s*"), "CAST(contains(lower(p_type), 'ar') AS INT) + CAST(p_size < 20 AS INT) + CAST(ends_with(p_brand, '3') AS INT) >= 2")
+_simple("b4_all_of", "part", "p_partkey", ["p_type", "p_size"], _one("s1:\n  p_type|contains: ar\ns2:\n  p_size|lt: 20", "all of them"), "contains(lower(p_type), 'ar') AND p_size < 20")
+_simple("b7_explicit_list", "part", "p_partkey", ["p_type", "p_size", "p_brand"], _one("s1:\n  p_type|contains: ar\ns2:\n  p_size|lt: 3\nf:\n  p_brand|endswith: '3'", "1 of (s1, s2) and not 1 of f*"), "(contains(lower(p_type), 'ar') OR p_size < 3) AND NOT ends_with(p_brand, '3')")
 _simple("b9_groups", "events", "event_id", ["event_type", "user_id"], _one("selection:\n  - event_type: click\n    user_id|lt: 20\n  - event_type: error"), "(event_type = 'click' AND user_id < 20) OR event_type = 'error'")
 _simple("b10_logsource", "documents", "doc_id", ["product", "service", "text"], lambda: rule_set(rule("selection:\n  text|contains: en", extra="logsource:\n  product: FR\n  service: src3\n")), "SELECT doc_id AS k FROM documents WHERE lower(lang) = 'fr' AND lower(source) = 'src3' AND contains(lower(text), 'en')", lambda d: d.withColumnsRenamed({"lang": "product", "source": "service"}))
-_simple("p3_field_mapping", "part", "p_partkey", ["command_line"], _one("selection:\n  CommandLine|endswith: tin"), "SELECT p_partkey AS k FROM part WHERE ends_with(lower(p_type), 'tin')", lambda d: d.withColumnRenamed("p_type", "command_line"))
-_simple("s7_event_map", "part", "p_partkey", ["fields"], _one("selection:\n  P_TYPE|contains: steel\n  p_size|gte: 25"), "SELECT p_partkey AS k FROM part WHERE contains(lower(p_type), 'steel') AND p_size >= 25", lambda d: from_table(d.select("p_partkey", "p_type", "p_size"), "p_partkey"))
+_simple("p3_field_mapping", "part", "p_partkey", ["command_line"], _one("selection:\n  CommandLine|endswith: all"), "SELECT p_partkey AS k FROM part WHERE ends_with(lower(p_type), 'all')", lambda d: d.withColumnRenamed("p_type", "command_line"))
+_simple("s7_event_map", "part", "p_partkey", ["fields"], _one("selection:\n  P_TYPE|contains: ar\n  p_size|gte: 25"), "SELECT p_partkey AS k FROM part WHERE contains(lower(p_type), 'ar') AND p_size >= 25", lambda d: from_table(d.select("p_partkey", "p_type", "p_size"), "p_partkey"))
 
 
 
