@@ -158,6 +158,26 @@ def _matched(events: DataFrame, rules: RuleSet, layout: Layout, parts: list[str]
     return wide.withColumn("hits", F.array_sort(F.concat(*columns))).drop(*columns)
 
 
+def _details(compiled: Compiled, layout: Layout) -> str:
+    """SQL of the conditions and identifiers that hold, for an event on which the rule does. What follows from that is not tested again."""
+    known = _implied(compiled.nodes[0]) if len(compiled.nodes) == 1 else set()
+    conditions = ["0"] if len(compiled.nodes) == 1 else [f"IF({p}, {k}, NULL)" for k, p in enumerate(_rule_sql(compiled, layout))]
+    names = [sql_str(x.name) if x.name in known else f"IF({identifier_sql(x, layout)}, {sql_str(x.name)}, NULL)" for x in compiled.rule.identifiers]
+    return f"named_struct('conditions', array_compact(array({', '.join(conditions)})), 'identifiers', array_compact(array({', '.join(names)})))"
+
+
+def _implied(node: Node) -> set[str]:
+    """Identifiers that hold whenever the node does."""
+    match node:
+        case ("id", name):
+            return {name}
+        case ("and", nodes):
+            return set().union(*map(_implied, nodes))
+        case ("of", count, names) if count in (0, len(names)):
+            return set(names)
+    return set()
+
+
 def detect(events: DataFrame, rules: RuleSet, key: str = "event_id", keep: list[str] | None = None) -> DataFrame:
     """Alerts: the key, ALERT's columns, and the columns named in keep. One row for each event and rule that holds."""
     layout = layout_of(events, rules, key)
@@ -168,9 +188,7 @@ def detect(events: DataFrame, rules: RuleSet, key: str = "event_id", keep: list[
         whens = []
         for i, c in enumerate(rules.compiled[at : at + CHUNK], at):
             if c.nodes:
-                conditions = [f"IF({p}, {k}, NULL)" for k, p in enumerate(_rule_sql(c, layout))]
-                names = [f"IF({identifier_sql(x, layout)}, {sql_str(x.name)}, NULL)" for x in c.rule.identifiers]
-                whens.append(f"WHEN {i} THEN named_struct('conditions', array_compact(array({', '.join(conditions)})), 'identifiers', array_compact(array({', '.join(names)})))")
+                whens.append(f"WHEN {i} THEN {_details(c, layout)}")
         if whens:
             part = f"CASE rule_idx {' '.join(whens)} END"
             details = part if rules.rule_count <= CHUNK else f"CASE WHEN rule_idx >= {at} AND rule_idx < {at + CHUNK} THEN {part} ELSE {details} END"

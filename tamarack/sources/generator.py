@@ -42,13 +42,15 @@ def events(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     image, parent = of(1), of(4)
     name = lambda path: F.regexp_extract(path, r"([^\\]*)$", 1)
     row = spark.range(n).withColumnRenamed("id", "event_id")
-    return row.select(
-        "event_id", F.lit("process_creation").alias("category"), F.lit("windows").alias("product"), F.lit("1").alias("EventID"), image.alias("Image"), name(image).alias("OriginalFileName"), of(2).alias("Description"), F.lit("Example").alias("Company"),
+    fields = F.struct(
+        F.lit("process_creation").alias("category"), F.lit("windows").alias("product"), F.lit("1").alias("EventID"), image.alias("Image"), name(image).alias("OriginalFileName"), of(2).alias("Description"), F.lit("Example").alias("Company"),
         F.get(choices, F.pmod(F.xxhash64(F.lit(seed), F.lit("line"), "event_id"), F.size(choices)).cast("int")).alias("CommandLine"), parent.alias("ParentImage"), name(parent).alias("ParentCommandLine"),
         _pick(USERS, _draw(seed, "user", len(USERS))).alias("User"), _pick(INTEGRITY, _draw(seed, "level", len(INTEGRITY))).alias("IntegrityLevel"), F.lit("C:\\Windows\\system32\\").alias("CurrentDirectory"),
         (1000 + _draw(seed, "pid", 60000)).cast("string").alias("ProcessId"), (400 + _draw(seed, "ppid", 4000)).cast("string").alias("ParentProcessId"), F.concat(F.lit("0x"), F.lower(F.hex(F.lit(0x3E7) + F.col("event_id") % 5))).alias("LogonId"),
         F.concat(F.lit("MD5="), F.upper(F.md5(F.concat(F.lit(f"{seed}/"), F.col("event_id").cast("string")))), F.lit(",SHA256="), F.upper(F.sha2(F.concat(F.lit(f"{seed}/"), F.col("event_id").cast("string")), 256))).alias("Hashes"),
     )
+    # Through a generator, so that the optimizer does not copy these expressions into every test of a field.
+    return row.select("event_id", F.explode(F.array(fields)).alias("event")).select("event_id", "event.*")
 
 
 def is_hit(number: Column, per_ten_thousand: int) -> Column:
