@@ -7,8 +7,8 @@ mini-batch stochastic gradient descent in numpy on the driver, with executors co
 rows. A third of those is held back to calibrate: a temperature makes scores probabilities, and the score under which
 REJECT_SHARE of right answers fall becomes the threshold of rejection.
 
-Training takes at most `train_rows` labelled rows, those of the smallest hash of the id, which bounds memory on the
-driver; whole texts are used. Prediction folds embedding and layer into one table of BUCKETS x languages.
+Training takes about `train_rows` labelled rows, an equal share of each language, those of the smallest hash of the id, and never more
+than twice as many, which bounds memory on the driver; whole texts are used. Prediction folds embedding and layer into one table of BUCKETS x languages.
 
 Defined results: a text that is null or has no letter is `und` with score 0. Without labelled rows all texts are `und`.
 Ties between languages go to the first in alphabetical order. Only the text decides: id, source and language of a row
@@ -31,6 +31,7 @@ from .common import require
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 TRAIN_ROWS, EPOCHS, BATCH, RATE = 3000, 12, 32, 20.0
 REJECT_SHARE = 0.005
+_STEPS = 1 << 30
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _CHUNK = 1 << 19
@@ -120,26 +121,24 @@ def fit(rows: list[tuple[list[int], list[int]]], labels: list[str], seed: int =
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """labelled: doc_id, text, lang. Of each language at most an equal share of train_rows is taken, by hash of the id."""
+    """labelled: doc_id, text, lang. Of each language an equal share of train_rows is taken by hash of the id, give or take chance, and never more than twice train_rows in all."""
     require(labelled, "doc_id", "text", "lang")
-    own = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    names = [r["lang"] for r in own.select("lang").distinct().orderBy("lang").limit(train_rows).collect()]
-    parts = None
-    for name in names:
-        part = own.filter(F.col("lang") == name).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "doc_id")
-        ids = part.select("h", "doc_id").orderBy("h", "doc_id").limit(max(1, train_rows // len(names)))
-        last = ids.agg(F.max("h")).first()[0]
-        part = part.filter(F.col("h") <= last).select("lang", "text")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
+    own = labelled.select("text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(_STEPS)).alias("h")).filter("lang is not null and text is not null")
+    counts = own.groupBy("lang").count().orderBy("lang").limit(train_rows).collect()
+    if not counts:
         return fit([], [])
+    share = max(1, train_rows // len(counts))
+    # Of each language the rows whose hash is under its share, in one pass.
+    limits = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], -(-share * _STEPS // r["count"]))))
+    parts = own.filter(F.col("h") < F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(0))).select("lang", "text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(features(t), return_counts=True) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tolist() for b, _ in found], pa.list_(pa.int32())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int32()))], ["lang", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([b.tolist() for b, _ in found], pa.list_(pa.int32())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int32()))], ["lang", "h", "buckets", "counts"])
 
-    rows = sorted(parts.mapInArrow(run, "lang string, buckets array<int>, counts array<int>").collect(), key=lambda r: (r["buckets"], r["lang"]))
+    sampled = parts.mapInArrow(run, "lang string, h long, buckets array<int>, counts array<int>").orderBy("h", "lang", "buckets").limit(2 * train_rows)
+    rows = sorted(sampled.collect(), key=lambda r: (r["buckets"], r["lang"]))
     order = np.random.default_rng(1).permutation(len(rows))
     return fit([(rows[i]["buckets"], rows[i]["counts"]) for i in order], [rows[i]["lang"] for i in order])
 
