@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import gc
+import inspect
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +89,21 @@ def block_of(n_blocks: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n_blocks)).cast("long")
 
 
+def trimmed(kernel: Callable) -> Callable:
+    """A function of groups that leaves no freed memory behind."""
+
+    @functools.wraps(kernel)
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return kernel(*tables)
+        finally:
+            trim()
+
+    # Spark tells functions with a key from those without by their arguments.
+    run.__signature__ = inspect.signature(kernel)
+    return run
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -95,3 +115,10 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     time.sleep(1)
+
+
+def trim() -> None:
+    """Returns freed memory of this Python worker to the system; workers live on between steps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
-from .common import block_count, block_of, release, require, stored, text_of
+from .common import block_count, block_of, release, require, stored, text_of, trimmed
 from .pack import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from .words import mix, shingle_hashes
 
@@ -39,8 +39,10 @@ ROWS, BANDS = 3, 10
 #: Samples of a document, the first ROWS * BANDS of which make bands; and how many have to agree, of all, for a pair of the
 #: later rounds to be verified. Of pairs with a similarity of 0.8 fewer agree with a probability under 1e-5.
 SAMPLES, AGREE = 192, 128
-#: Bits of a shingle's hash, and shingles that one range holds on average.
-HASH_BITS, RANGE_KEYS = 43, 1 << 20
+#: Text bytes of a block, which bound a worker's arrays.
+BLOCK_BYTES = 4 << 20
+#: Bits of a shingle's hash, which leave room for a position beside them.
+HASH_BITS = 43
 #: Pairs of one leader that one group verifies on average.
 GROUP_PAIRS = 128
 _POSITION_BITS = 64 - HASH_BITS
@@ -151,16 +153,18 @@ SKETCH = "doc_id long, same binary, weight double, bands array<long>, lanes arra
 def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document with words, stored; all but doc_id is null where no link is possible."""
     require(docs, "doc_id", "text")
-    n_docs, n_blocks = block_count(docs, text_of())
+    n_docs, n_blocks = block_count(docs, text_of(), BLOCK_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), block_of(n_blocks, F.col("doc_id"), text_of()).alias("block"))
-    n_ranges = max(1, n_blocks)
+    n_ranges = max(1, n_blocks // 2)
 
+    @trimmed
     def ask(table: pa.Table) -> pa.Table:
         keys, _, place, _ = shingles_of_block(table.column("text").to_pylist())
         df, edge, block = np.bincount(place, minlength=len(keys)), _ranges(keys, n_ranges), table.column("block")[0].as_py()
         out = [(i, block, pack_sorted(keys[a:b]), pack_counts(df[a:b])) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "keys", "n"])
 
+    @trimmed
     def answer(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
         n = np.concatenate([unpack_counts(x) for x in table.column("n").to_pylist()]).astype(np.int64)
@@ -170,6 +174,7 @@ def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         cut = np.split(df, np.cumsum([len(k) for k in keys])[:-1])
         return pa.table([table.column("block"), table.column("range"), pa.array([pack_counts(x) for x in cut], pa.binary())], ["block", "range", "df"])
 
+    @trimmed
     def draw(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64())), ("shingles", pa.binary()), ("tf", pa.binary()), ("df", pa.binary())])
         keys, doc, place, tf = shingles_of_block(left.column("text").to_pylist()) if left.num_rows else (np.zeros(0, np.uint64),) * 4
@@ -236,6 +241,7 @@ def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
     right = sizes.toDF("a", "salts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("a", "salt").join(again.withColumnRenamed("same", "a"), "a")
     right = right.toDF(*right.columns)
 
+    @trimmed
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def features_of(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
             keys, tf, df = unpack_sorted(t.column("shingles")[i].as_py()), unpack_counts(t.column("tf")[i].as_py()), unpack_counts(t.column("df")[i].as_py())
@@ -285,7 +291,7 @@ def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOL
         members = stored(left.join(open_, "bucket").select("bucket", "same", "weight", "root"), "members")
         if members.isEmpty():
             return labels
-        leaders_per_bucket *= 4
+        leaders_per_bucket *= 6
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, release, require, stored, text_of
+from .common import block_count, release, require, stored, text_of, trimmed
 from .pack import pack_counts, pack_floats, pack_sorted, unpack_counts, unpack_floats, unpack_sorted
 from .words import mix
 
@@ -217,6 +217,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     train = known.filter(~fold).select(F.col("doc_id").alias("id"), block(F.col("doc_id").cast("string")))
 
+    @trimmed
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = ["trusted", "shard", "block", "keys", "counts"], (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         out: list[tuple] = []
@@ -233,6 +234,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                     out.append((True, int(s), number, pack_sorted(keys[own]), pack_counts(counts[own])))
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
 
+    @trimmed
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         known, log_p = right.column("n_gram").to_numpy().view(np.uint64), right.column("log_p").to_numpy()
         order = np.argsort(known)
@@ -240,6 +242,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         out = [pack_floats(log_p[np.searchsorted(known, unpack_sorted(k))]) for k in left.column("keys").to_pylist()]
         return pa.table([left.column("block"), left.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "log_p"])
 
+    @trimmed
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.float64())], names=["doc_id", "lang", "n", "nll"])

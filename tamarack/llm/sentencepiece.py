@@ -31,13 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import require, text_of
+from .common import require, text_of, trim
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct parts whose ids a worker remembers between batches; beyond that it starts anew.
-KNOWN_PARTS = 1 << 17
+KNOWN_PARTS = 1 << 15
 
 
 @dataclass
@@ -189,7 +189,7 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix else text
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder_of(data: bytes) -> Encoder:
     return Encoder(data)
 
@@ -229,6 +229,7 @@ def encode(docs: DataFrame, model: bytes, parity: bool = False) -> DataFrame:
                     [part.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in each]), pa.array([own.decode(x) == own.decoded(t) for t, x in zip(texts, each, strict=True)]), pa.array(same, pa.bool_())],
                     ["doc_id", "n_tokens", "ids", "ids_sha256", "round_trip", "parity"],
                 )
+        trim()
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean, parity boolean")
