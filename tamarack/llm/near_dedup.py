@@ -241,7 +241,6 @@ def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
     right = sizes.toDF("a", "salts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("a", "salt").join(again.withColumnRenamed("same", "a"), "a")
     right = right.toDF(*right.columns)
 
-    @trimmed
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def features_of(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
             keys, tf, df = unpack_sorted(t.column("shingles")[i].as_py()), unpack_counts(t.column("tf")[i].as_py()), unpack_counts(t.column("df")[i].as_py())
