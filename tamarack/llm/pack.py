@@ -36,3 +36,11 @@ def pack_floats(values: np.ndarray) -> bytes:
 
 def unpack_floats(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), np.float32)
+
+
+def pack_text(text: str) -> bytes:
+    return zstandard.compress(text.encode("utf-8", "surrogatepass"), _LEVEL)
+
+
+def unpack_text(data: bytes) -> str:
+    return zstandard.decompress(data).decode("utf-8", "surrogatepass")

@@ -10,10 +10,16 @@ an n-gram (its count, its context's total and types, the same of the shorter n-g
 probability of the last symbol after the third, comes from tables of bigrams by joins. Log probabilities go back to the
 blocks, which sum them for each document.
 
+Trusted documents fall into FOLDS = 5 folds by hash of the id, and there is a model without each of them. A trusted
+document is scored by the model without its own fold, any other by the one without fold 0, so all are scored by
+models of the same size that have not seen them, and every trusted document calibrates.
+
 A document's score is its bits per symbol, drawn towards its language's mean as by SHRINK symbols, so that a few
-odd symbols don't condemn a short text. A language's threshold is a quantile of the scores of trusted documents
-that training left out (every fifth, by hash of the id); languages with fewer than LEAST_CALIBRATION of those, and rows
-without a language, use all languages' scores.
+odd symbols don't condemn a short text. Means and thresholds are of the scores of trusted documents. A language's mean is
+drawn towards that of all as by MEAN_PULL documents. Its threshold is its mean and an excess over it, a quantile of
+its own documents' excesses drawn towards that of all documents' as by 1 / (1 - quantile) documents, of
+which one is beyond the quantile. So nothing switches at a number of documents. Rows without a language may be of any:
+their threshold is the quantile of all scores.
 
 Defined results: a null text or one without words has a null perplexity and is rejected; without trusted documents nothing
 else is rejected. Rows that repeat are scored each. An empty table gives an empty result. Other columns do not matter.
@@ -21,13 +27,15 @@ else is rejected. Rows that repeat are scored each. An empty table gives an empt
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_count, release, require, stored, text_of, trimmed
-from .pack import pack_counts, pack_floats, pack_sorted, unpack_counts, unpack_floats, unpack_sorted
+from .pack import pack_counts, pack_floats, pack_sorted, pack_text, unpack_counts, unpack_floats, unpack_sorted, unpack_text
 from .words import mix
 
 ORDER = 4
@@ -35,7 +43,8 @@ PAD, REPEAT, END = "\x01", "\x02", "\x03"
 BLOCK_BYTES = 2 << 20
 SHRINK = 60
 QUANTILE = 0.995
-LEAST_CALIBRATION = 100
+FOLDS = 5
+MEAN_PULL = 1
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,100 +147,146 @@ def _gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(pieces: DataFrame) -> DataFrame:
-    """Counts of blocks to one row for each shard: the counts of the orders 4 and 3, and the types of bigrams."""
-    kinds = [pa.int64(), *[pa.binary()] * 6, *[pa.list_(pa.int64())] * 2]
-    names = ["shard", "keys4", "counts4", "keys3", "counts3", "keys2", "counts2", "types4", "types3"]
+    """Counts of blocks to one row for each shard and fold left out: the counts of the orders 4 and 3, and the types of bigrams."""
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6, *[pa.list_(pa.int64())] * 2]
+    names = ["shard", "fold", "keys4", "counts4", "keys3", "counts3", "keys2", "counts2", "types4", "types3"]
 
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
-        k4, c4 = summed(*_gather(table))
-        k3, c3 = summed(_shorter(k4), np.ones(len(k4), np.int64))
-        k2, c2 = summed(k3 & np.uint64(0xFFFFFFFF), np.ones(len(k3), np.int64))
-        row = [table.column("shard")[0].as_py(), *(f(x) for k, c in ((k4, c4), (k3, c3), (k2, c2)) for f, x in ((pack_sorted, k), (pack_counts, c))), _types(c4), _types(c3)]
-        return pa.table([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+        fold = table.column("fold").to_numpy()
+        own = [summed(*_gather(table.filter(pa.array(fold == k)))) if (fold == k).any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in range(FOLDS)]
+        keys, counts = summed(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]))
+        rows = []
+        for fold, (k, c) in enumerate(own):
+            rest = counts.copy()
+            rest[np.searchsorted(keys, k)] -= c
+            k4, c4 = keys[rest > 0], rest[rest > 0]
+            k3, c3 = summed(_shorter(k4), np.ones(len(k4), np.int64))
+            k2, c2 = summed(k3 & np.uint64(0xFFFFFFFF), np.ones(len(k3), np.int64))
+            rows.append([table.column("shard")[0].as_py(), fold, *(f(x) for k, c in ((k4, c4), (k3, c3), (k2, c2)) for f, x in ((pack_sorted, k), (pack_counts, c))), _types(c4), _types(c3)])
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    kind = "shard long, fold long, keys4 binary, counts4 binary, keys3 binary, counts3 binary, keys2 binary, counts2 binary, types4 array<long>, types3 array<long>"
+    return stored(pieces.filter("trusted").select("shard", "fold", "keys", "counts").groupBy("shard").applyInArrow(run, kind), "ngrams")
+
 
-    return stored(pieces.filter("trusted").groupBy("shard").applyInArrow(run, "shard long, keys4 binary, counts4 binary, keys3 binary, counts3 binary, keys2 binary, counts2 binary, types4 array<long>, types3 array<long>"), "ngrams")
+def _by_fold(df: DataFrame, *columns: Column) -> list[list[float]]:
+    """Of each fold left out: the discounts, from the columns n0 to n3."""
+    found = {r["fold"]: [r[f"n{i}"] or 0 for i in range(4)] for r in df.groupBy("fold").agg(*(c.alias(f"n{i}") for i, c in enumerate(columns))).collect()}
+    return [discounts(found.get(k, [0] * 4)) for k in range(FOLDS)]
 
 
-def _sum_types(df: DataFrame, column: str) -> list[float]:
-    row = df.agg(*(F.sum(F.col(column)[i]).alias(f"n{i}") for i in range(4))).first()
-    return discounts([x or 0 for x in row])
+def _sum_types(df: DataFrame, column: str) -> list[list[float]]:
+    return _by_fold(df, *(F.sum(F.col(column)[i]) for i in range(4)))
 
 
-def _count_types(df: DataFrame) -> list[float]:
-    row = df.agg(*(F.count_if(F.col("n") == i + 1).alias(f"n{i}") for i in range(4))).first()
-    return discounts(list(row))
+def _count_types(df: DataFrame) -> list[list[float]]:
+    return _by_fold(df, *(F.count_if(F.col("n") == i + 1) for i in range(4)))
+
+
+def _of_fold(values: list) -> Column:
+    """The value of the row's fold; values are numbers, or lists of which n - 1 chooses, the last for larger n."""
+    if not isinstance(values[0], list):
+        return F.element_at(F.array(*map(F.lit, values)), F.col("fold").cast("int") + 1)
+    table = F.array(*(F.lit(float(x)) for row in values for x in row))
+    return F.element_at(table, (F.col("fold") * len(values[0]) + F.least("n", F.lit(len(values[0])))).cast("int"))
 
 
 def log_probabilities(pieces: DataFrame) -> DataFrame:
-    """(shard, n_gram, log_p) for every distinct n-gram that a block needs."""
+    """(shard, fold, n_gram, log_p) for every distinct n-gram that a block needs of the model without a fold."""
     model = build(pieces)
     d4, d3 = _sum_types(model, "types4"), _sum_types(model, "types3")
 
     def bigrams_of(batches):
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(unpack_sorted(k))), pa.array(unpack_counts(c).astype(np.int64))], ["pair", "n"])
+            for f, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys = _signed(unpack_sorted(k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), f)), pa.array(keys), pa.array(unpack_counts(c).astype(np.int64))], ["fold", "pair", "n"])
 
-    bigrams = stored(model.select("keys2", "counts2").mapInArrow(bigrams_of, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
+    bigrams = stored(model.select("fold", "keys2", "counts2").mapInArrow(bigrams_of, "fold long, pair long, n long").groupBy("fold", "pair").agg(F.sum("n").alias("n")), "bigrams")
     c, d = F.shiftrightunsigned("pair", 16).alias("c"), F.col("pair").bitwiseAND(0xFFFF).alias("d")
     d2 = _count_types(bigrams)
-    unigrams = bigrams.groupBy(d).agg(F.count(F.lit(1)).alias("n"))
+    unigrams = bigrams.groupBy("fold", d).agg(F.count(F.lit(1)).alias("n"))
     d1 = _count_types(unigrams)
-    loss = lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    sums = unigrams.agg(F.sum("n").alias("t"), F.sum(loss(d1)).alias("l"), F.count(F.lit(1)).alias("v")).first()
-    total, kinds = sums["t"] or 1, (sums["v"] or 0) + 1
-    rest = (sums["l"] or total) / total / kinds
-    # Both tables have at most 65,536 rows, one for each code unit.
-    last = F.broadcast(unigrams.select("d", ((F.col("n") - loss(d1)) / total + rest).alias("p1")))
-    before = F.broadcast(bigrams.groupBy(c).agg(F.sum("n").alias("t2"), F.sum(loss(d2)).alias("l2")))
-    pairs = bigrams.select("pair", (F.col("n") - loss(d2)).alias("own2"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    sums = {r["fold"]: r for r in unigrams.groupBy("fold").agg(F.sum("n").alias("t"), F.sum(_of_fold(d1)).alias("l"), F.count(F.lit(1)).alias("v")).collect()}
+    totals = [sums[k]["t"] if k in sums else 1 for k in range(FOLDS)]
+    rests = [sums[k]["l"] / sums[k]["t"] / (sums[k]["v"] + 1) if k in sums else 1.0 for k in range(FOLDS)]
+    # Both tables have at most 65,536 rows for each fold, one for each code unit.
+    last = F.broadcast(unigrams.select("fold", "d", ((F.col("n") - _of_fold(d1)) / _of_fold(totals) + _of_fold(rests)).alias("p1")))
+    before = F.broadcast(bigrams.groupBy("fold", c).agg(F.sum("n").alias("t2"), F.sum(_of_fold(d2)).alias("l2")))
+    pairs = bigrams.select("fold", "pair", (F.col("n") - _of_fold(d2)).alias("own2"))
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        shard, fold = (int(k.as_py()) for k in key)
         asked = np.unique(np.concatenate([unpack_sorted(k) for k in left.column("keys").to_pylist()] or [np.zeros(0, np.uint64)]))
         one = (lambda c, f: f(right.column(c)[0].as_py())) if right.num_rows else (lambda c, f: np.zeros(0, np.uint64))
         k4, k3 = one("keys4", unpack_sorted), one("keys3", unpack_sorted)
         c4, c3 = one("counts4", unpack_counts).astype(np.int64), one("counts3", unpack_counts).astype(np.int64)
-        p4, l4 = _interpolated(asked, asked >> np.uint64(16), k4, c4, k4 >> np.uint64(16), d4)
+        p4, l4 = _interpolated(asked, asked >> np.uint64(16), k4, c4, k4 >> np.uint64(16), d4[fold])
         short = _shorter(asked)
-        p3, l3 = _interpolated(short, short >> np.uint64(16), k3, c3, k3 >> np.uint64(16), d3)
+        p3, l3 = _interpolated(short, short >> np.uint64(16), k3, c3, k3 >> np.uint64(16), d3[fold])
         pair = ((asked >> np.uint64(16)) & np.uint64(0xFFFF0000)) | (asked & np.uint64(0xFFFF))
-        shard = left.column("shard")[0].as_py() if left.num_rows else 0
-        return pa.table([pa.array(np.full(len(asked), shard)), pa.array(_signed(asked)), pa.array(_signed(pair)), pa.array(p4 + l4 * p3), pa.array(l4 * l3)], ["shard", "n_gram", "pair", "p", "left"])
+        return pa.table([pa.array(np.full(len(asked), shard)), pa.array(np.full(len(asked), fold)), pa.array(_signed(asked)), pa.array(_signed(pair)), pa.array(p4 + l4 * p3), pa.array(l4 * l3)], ["shard", "fold", "n_gram", "pair", "p", "left"])
 
-    wanted = pieces.filter("not trusted").select("shard", "keys").groupBy("shard").cogroup(model.select("shard", "keys4", "counts4", "keys3", "counts3").groupBy("shard")).applyInArrow(run, "shard long, n_gram long, pair long, p double, left double")
-    joined = wanted.withColumn("c", F.shiftrightunsigned("pair", 16)).withColumn("d", F.col("pair").bitwiseAND(0xFFFF)).join(pairs, "pair", "left").join(before, "c", "left").join(last, "d", "left")
-    p1 = F.coalesce("p1", F.lit(float(rest)))
+    wanted = asking(pieces).groupBy("shard", "fold").cogroup(model.select("shard", "fold", "keys4", "counts4", "keys3", "counts3").groupBy("shard", "fold")).applyInArrow(run, "shard long, fold long, n_gram long, pair long, p double, left double")
+    joined = wanted.withColumn("c", F.shiftrightunsigned("pair", 16)).withColumn("d", F.col("pair").bitwiseAND(0xFFFF)).join(pairs, ["fold", "pair"], "left").join(before, ["fold", "c"], "left").join(last, ["fold", "d"], "left")
+    p1 = F.coalesce("p1", _of_fold(rests))
     p2 = F.when(F.col("t2").isNull(), p1).otherwise(F.coalesce("own2", F.lit(0.0)) / F.col("t2") + F.col("l2") / F.col("t2") * p1)
-    return joined.select("shard", "n_gram", F.log(F.col("p") + F.col("left") * p2).alias("log_p"))
+    return joined.select("shard", "fold", "n_gram", F.log(F.col("p") + F.col("left") * p2).alias("log_p"))
+
+
+def asking(pieces: DataFrame) -> DataFrame:
+    """What blocks need: all their n-grams of the model without fold 0, those of trusted documents of another fold of the model without that one."""
+    return pieces.filter("not trusted or fold > 0").select("block", "shard", "fold", "keys")
+
+
+def folds_of(ids: pa.ChunkedArray, trusted: np.ndarray) -> np.ndarray:
+    """The fold of each document, -1 if it is not trusted."""
+    known = set(trusted.tolist())
+    return np.array([crc32(str(i).encode()) % FOLDS if i in known else -1 for i in ids.to_pylist()], np.int64)
 
 
 def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, n (symbols), nll (natural), calibrates; stored. trusted: doc_id of trusted documents, distinct."""
+    """doc_id, lang, n (symbols), nll (natural, of the model without fold 0), out_nll (of the model without the own fold; null unless trusted), calibrates (of fold 0); stored.
+
+    trusted: doc_id of trusted documents, distinct.
+    """
     require(docs, "doc_id", "text")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     _, n_blocks = block_count(docs, text_of(), BLOCK_BYTES)
     n_shards = max(4, n_blocks // 16)
     block = lambda *k: F.pmod(F.xxhash64(F.coalesce(*k)), F.lit(n_blocks)).cast("long").alias("block")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_of().alias("text"), block(F.col("doc_id").cast("string"), text_of()))
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array([pack_text(t) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "lang", "block", "packed"])
+
+    # Texts are shuffled twice; packed one by one they take a third less than by the shuffle's own compression.
+    rows = rows.mapInArrow(packed, "doc_id long, lang string, block long, packed binary")
+    texts = lambda table: [unpack_text(x) for x in table.column("packed").to_pylist()]
     known = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    train = known.filter(~fold).select(F.col("doc_id").alias("id"), block(F.col("doc_id").cast("string")))
+    train = known.select(F.col("doc_id").alias("id"), block(F.col("doc_id").cast("string")))
 
     @trimmed
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["trusted", "shard", "block", "keys", "counts"], (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names, kinds = ["trusted", "shard", "fold", "block", "keys", "counts"], (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         out: list[tuple] = []
         if left.num_rows:
-            keys, order, first, text = ngrams(*symbols(left.column("text").to_pylist()))
-            learnt = np.isin(left.column("doc_id").to_numpy(), right.column("id").to_numpy()) if right.num_rows else np.zeros(left.num_rows, bool)
-            counts = np.add.reduceat(learnt[text[order]].astype(np.int64), first)
+            keys, order, first, text = ngrams(*symbols(texts(left)))
+            ids = right.column("id").to_numpy()
+            fold = folds_of(left.column("doc_id"), ids)[text[order]]
+            place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            counts = [np.bincount(place[fold == k], minlength=len(first)) for k in range(FOLDS)]
             shard, number = shard_of(keys, n_shards), left.column("block")[0].as_py()
+            # Neither asks nor counts: which documents are trusted.
+            out.append((None, -1, -1, number, ids.tobytes(), None))
             for s in np.unique(shard):
                 own = shard == s
-                out.append((False, int(s), number, pack_sorted(keys[own]), None))
-                own &= counts > 0
-                if own.any():
-                    out.append((True, int(s), number, pack_sorted(keys[own]), pack_counts(counts[own])))
+                out.append((False, int(s), 0, number, pack_sorted(keys[own]), None))
+                for k, n in enumerate(counts):
+                    if (there := own & (n > 0)).any():
+                        out.append((True, int(s), k, number, pack_sorted(keys[there]), pack_counts(n[there])))
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
 
     @trimmed
@@ -240,48 +295,64 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         order = np.argsort(known)
         known, log_p = known[order], log_p[order]
         out = [pack_floats(log_p[np.searchsorted(known, unpack_sorted(k))]) for k in left.column("keys").to_pylist()]
-        return pa.table([left.column("block"), left.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "log_p"])
+        return pa.table([left.column("block"), left.column("shard"), left.column("fold"), pa.array(out, pa.binary())], ["block", "shard", "fold", "found"])
 
     @trimmed
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ["doc_id", "lang", "n", "nll", "out_nll", "calibrates"], (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
         if not left.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.float64())], names=["doc_id", "lang", "n", "nll"])
-        units, offset = symbols(left.column("text").to_pylist())
-        keys, order, first, text = ngrams(units, offset)
-        answers = sorted(zip(right.column("shard").to_pylist(), right.column("log_p").to_pylist(), strict=True))
-        log_p = np.zeros(len(keys))
-        log_p[np.argsort(shard_of(keys, n_shards), kind="stable")] = np.concatenate([unpack_floats(x) for _, x in answers])
-        each = np.zeros(len(order))
-        each[order] = np.repeat(log_p, np.diff(np.append(first, len(order))))
-        nll, n = -np.bincount(text, each, minlength=left.num_rows), np.bincount(text, minlength=left.num_rows)
-        return pa.table([left.column("doc_id"), left.column("lang"), pa.array(n.astype(np.int64) - 1), pa.array(nll)], ["doc_id", "lang", "n", "nll"])
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        keys, order, first, text = ngrams(*symbols(texts(left)))
+        answers = sorted(zip(*(right.column(c).to_pylist() for c in ("fold", "shard", "found")), strict=True))
+        fold = folds_of(left.column("doc_id"), np.frombuffer(answers[0][2], np.int64))
+        shard, owner = shard_of(keys, n_shards), fold[text[order]]
+        place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+
+        def log_p(k: int, which: np.ndarray) -> np.ndarray:
+            """Of the model without fold k, for the n-grams `which`."""
+            out = np.zeros(len(keys))
+            out[which[np.argsort(shard[which], kind="stable")]] = np.concatenate([unpack_floats(x) for f, _, x in answers if f == k])
+            return out
 
-    asked = rows.groupBy("block").cogroup(train.groupBy("block")).applyInArrow(ask, "trusted boolean, shard long, block long, keys binary, counts binary")
+        each = np.zeros(len(order))
+        if len(keys):
+            each = log_p(0, np.arange(len(keys)))[place]
+        total = lambda: -np.bincount(text[order], each, minlength=left.num_rows)
+        nll, n = total(), np.bincount(text, minlength=left.num_rows)
+        for k in range(1, FOLDS):
+            if (at := owner == k).any():
+                each[at] = log_p(k, np.unique(place[at]))[place[at]]
+        return pa.table([left.column("doc_id"), left.column("lang"), pa.array(n.astype(np.int64) - 1), pa.array(nll), pa.array(total(), mask=fold < 0), pa.array(fold == 0)], names=names)
+
+    asked = rows.groupBy("block").cogroup(train.groupBy("block")).applyInArrow(ask, "trusted boolean, shard long, fold long, block long, keys binary, counts binary")
     pieces = stored(asked, "pieces")
     del asked
     release(docs.sparkSession)
-    answered = pieces.filter("not trusted").groupBy("shard").cogroup(log_probabilities(pieces).groupBy("shard")).applyInArrow(answer, "block long, shard long, log_p binary")
-    found = stored(rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add, "doc_id long, lang string, n long, nll double"), "scores")
-    calibrating = known.filter(fold).select("doc_id", F.lit(True).alias("calibrates"))
-    return found.join(calibrating, "doc_id", "left").withColumn("calibrates", F.coalesce("calibrates", F.lit(False)))
+    answered = asking(pieces).groupBy("shard", "fold").cogroup(log_probabilities(pieces).groupBy("shard", "fold")).applyInArrow(answer, "block long, shard long, fold long, found binary")
+    answered = answered.unionByName(pieces.filter("trusted is null").select("block", "shard", "fold", F.col("keys").alias("found")))
+    return stored(rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add, "doc_id long, lang string, n long, nll double, out_nll double, calibrates boolean"), "scores")
 
 
 def judged(found: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, score (bits per symbol, shrunk), threshold, rejected."""
     bits = F.log(F.lit(2.0))
-    usable = found.filter("calibrates and n > 0")
-    means = usable.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("own_mean"), F.count(F.lit(1)).alias("n_calibration"))
-    whole = usable.agg((F.sum("nll") / F.sum("n")).alias("m")).first()["m"]
+    found = found.select("doc_id", "lang", "n", F.coalesce("out_nll", "nll").alias("nll"), (F.col("out_nll").isNotNull() & (F.col("n") > 0)).alias("usable"))
+    whole = found.filter("usable").agg((F.sum("nll") / F.sum("n")).alias("m")).first()["m"]
+    pull = 1 / max(1 - quantile, 1e-9)
+    towards = lambda own, pooled, by: (F.col("n_docs") * own + by * pooled) / (F.col("n_docs") + by)
+    means = found.filter("usable and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("nll") / F.sum("n")).alias("own"))
+    means = means.select("lang", "n_docs", towards(F.col("own"), F.lit(whole), MEAN_PULL).alias("own_mean"))
     # One row for each language; rows without a language meet none.
-    centred = found.join(means, "lang", "left")
-    enough = F.coalesce(F.col("n_calibration") >= LEAST_CALIBRATION, F.lit(False))
-    mean = F.when(enough, F.col("own_mean")).otherwise(F.lit(whole))
+    mean = F.coalesce("own_mean", F.lit(whole))
     score = F.when(F.col("n") > 0, (F.col("nll") + SHRINK * F.coalesce(mean, F.col("nll") / F.col("n"))) / (F.col("n") + SHRINK) / bits)
-    scored = centred.withColumn("score", score).withColumn("enough", enough)
-    kept = scored.filter("calibrates and n > 0")
-    limits = kept.filter("enough").groupBy("lang").agg(F.percentile_approx("score", quantile, 10000).alias("own_limit"))
-    limit = kept.agg(F.percentile_approx("score", quantile, 10000).alias("t")).first()["t"]
-    limited = scored.join(limits, "lang", "left").withColumn("threshold", F.coalesce("own_limit", F.lit(limit)))
+    scored = found.join(means, "lang", "left").withColumn("score", score).withColumn("excess", F.col("score") - mean / bits)
+    kept = scored.filter("usable")
+    at = lambda x: F.percentile_approx(x, quantile, 10000)
+    limit = kept.agg(at("score").alias("score"), at(F.when(F.col("lang").isNotNull(), F.col("excess"))).alias("excess")).first()
+    limits = kept.filter("lang is not null").groupBy("lang").agg(at("excess").alias("own_excess"))
+    excess = F.coalesce(towards(F.col("own_excess"), F.lit(limit["excess"]), pull), F.lit(limit["excess"]))
+    threshold = F.when(F.col("lang").isNull(), F.lit(limit["score"])).otherwise(F.coalesce(mean / bits + excess, F.lit(limit["score"])))
+    limited = scored.join(limits, "lang", "left").withColumn("threshold", threshold)
     return limited.select("doc_id", "lang", F.greatest("n", F.lit(0)).cast("long").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(F.col("nll") / (F.col("n") + 1))).alias("perplexity"), "score", "threshold", ((F.col("n") <= 0) | F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))).alias("rejected"))
 
 

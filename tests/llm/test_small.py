@@ -411,6 +411,31 @@ def test_quality_model(spark, monkeypatch):
     assert verdict[500]["rejected"] and verdict[502]["rejected"] and verdict[503]["perplexity"] is None and not verdict[110]["rejected"]
 
 
+def test_trusted_documents_are_scored_out_of_fold(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    import zlib
+
+    rng = np.random.default_rng(5)
+    texts = {k: " ".join(rng.choice(["an", "ant", "tan", "hat", "that", "über"], 12)) for k in range(60)}
+    found = {r["doc_id"]: r for r in quality.scores(table(spark, [(k, t, "en") for k, t in texts.items()]), spark.range(40).toDF("doc_id")).collect()}
+    for fold in range(5):
+        own = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5 == fold]
+        want = brute_log_p([texts[k] for k in range(40) if k not in own], [texts[k] for k in own])
+        assert [found[k]["out_nll"] for k in own] == pytest.approx(want, rel=1e-4)
+    assert all(found[k]["out_nll"] is None for k in range(40, 60))
+
+
+def test_thresholds_do_not_jump_with_the_number_of_documents(spark):
+    def threshold(n):
+        rows = [(k, lang, 400, 400 * (mean + 0.1 * math.sin(k)), 400 * (mean + 0.1 * math.sin(k)), True) for lang, size, mean in (("en", 300, 1.5), ("es", n, 2.5)) for k in range(size)]
+        found = spark.createDataFrame(rows, "doc_id long, lang string, n long, nll double, out_nll double, calibrates boolean")
+        return {r["lang"]: r["threshold"] for r in quality.judged(found).select("lang", "threshold").distinct().collect()}
+
+    few, enough = threshold(99), threshold(100)
+    assert few["es"] == pytest.approx(enough["es"], abs=0.01) and few["en"] == pytest.approx(enough["en"], abs=0.01)
+    assert few["en"] < 1.7 / math.log(2) and few["es"] > 2.5 / math.log(2)
+
+
 def test_quality_without_trust(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.trusted_of(labels).count() == 0
