@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tamarack.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, pack, pii, quality, token_counts, warc, words
+from tamarack.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, pack, pii, quality, queries, token_counts, warc, words
 from tamarack.llm import sentencepiece as sp
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, same long, block string"
@@ -249,6 +249,13 @@ def test_sentencepiece(spark):
     assert texts[9] == ODD[-1][1] and texts[4] == "" and texts[6] == LONG
 
 
+@needs_model
+def test_query_returns_ids_and_parity(spark, tmp_path):
+    table(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op2_sentencepiece(spark, str(tmp_path)).collect()
+    assert len(rows) == len(ODD) and all(r["parity"] and len(r["ids"]) == r["n_tokens"] for r in rows)
+
+
 def varint(n):
     out = b""
     while n > 127:
