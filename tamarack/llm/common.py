@@ -15,6 +15,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one block of documents holds on average.
 BLOCK_BYTES = 8 << 20
@@ -62,15 +63,65 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _file_system(spark, path)
+    return fs.exists(p(path))
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder, sorted; none if it is not there."""
+    fs, p = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p(path))) if fs.exists(p(path)) else []
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Deletes a file or folder; what is not there is no error."""
+    fs, p = _file_system(spark, path)
+    if not fs.delete(p(path), True) and fs.exists(p(path)):
+        raise OSError(f"{path} could not be deleted")
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A file that is there whole or not at all: written under another name and renamed. False if there was one before."""
+    fs, p = _file_system(spark, path)
+    if fs.exists(p(path)):
+        return False
+    folder, _, name = path.rpartition("/")
+    fs.mkdirs(p(folder))
+    new = p(f"{folder}/.{name}-{uuid.uuid4().hex}")
+    with contextlib.closing(fs.create(new, False)) as out:
+        out.write(bytearray(text.encode()))
+    # File systems refuse to rename onto what is there, or are asked first.
+    if not fs.exists(p(path)) and fs.rename(new, p(path)):
+        return True
+    fs.delete(new, False)
+    return False
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    fs, p = _file_system(spark, path)
+    with contextlib.closing(fs.open(p(path))) as stream:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+
+
+class Markers:
+    """Numbered files in a folder, of which the last that is there counts; each is created once and whole."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def last(self) -> tuple[int, str]:
+        """The largest number and its text; 0 if there is none."""
+        number = max((int(n) for n in names_in(self.spark, self.path) if n.isdigit()), default=0)
+        return number, read_small(self.spark, f"{self.path}/{number}") if number else ""
+
+    def add(self, number: int, text: str) -> bool:
+        return create_once(self.spark, f"{self.path}/{number}", text)
 
 
 def text_of(column: str = "text") -> Column:
@@ -110,6 +161,35 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
+def require_ids(df: DataFrame, name: str) -> None:
+    """Raises an error unless the column is there and holds whole numbers."""
+    require(df, name)
+    kind = next(f.dataType for f in df.schema if f.name == name)
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{name} must hold whole numbers, not {kind.simpleString()}")
+
+
+def mark_of(column: str = "text") -> Column:
+    """A hash by which rows of the same id but different texts are told apart."""
+    return F.xxhash64(text_of(column))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def dropped(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text's mark are a row of gone (doc_id, mark); a null id is an id."""
+    a, b = fresh(docs, "gone_id"), fresh(docs, "gone_mark")
+    gone = stored(gone.toDF(a, b).distinct(), "gone")
+    own = F.col("doc_id").cast(gone.schema[a].dataType)
+    return docs.join(gone, own.eqNullSafe(F.col(a)) & (mark_of() == F.col(b)), "left_anti")
+
+
 def release(spark: SparkSession) -> None:
     """Has the driver collect garbage, upon which Spark drops the shuffle files of finished jobs that nothing refers to."""
     gc.collect()

@@ -22,6 +22,7 @@ an empty result. Columns other than doc_id and text do not matter.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import delete_path, path_exists, require, scratch_path, text_of
+from .common import Markers, delete_path, fresh, names_in, path_exists, require, require_ids, scratch_path, stored, text_of
 
 #: Rows that a memtable holds before it is flushed, and digests that one shard holds on average.
 MEMTABLE_ROWS = 1 << 18
@@ -148,7 +149,8 @@ def resolve(docs: DataFrame, keep: str = "least", id_column: str = "doc_id") ->
 
     keep: `least` or `most`, the identifier that stays. Identifiers are integers.
     """
-    require(docs, id_column, "text")
+    require_ids(docs, id_column)
+    require(docs, "text")
     spark = docs.sparkSession
     ids, null = _ids(id_column, keep)
     rows = docs.select(ids.alias("id"), digest_of(text_of()).alias("digest"), text_of().alias("text"))
@@ -189,35 +191,53 @@ def deduplicated(docs: DataFrame, keep: str = "most") -> DataFrame:
     Of rows with the same id and text one stays. docs must have unique ids otherwise.
     """
     gone = resolve(docs, keep)
+    own, again, repeated, digest_ = (fresh(docs, n) for n in ("own_id", "own_mark", "repeated", "own_digest"))
     # Rows to drop are few; ids that stay but repeat are thinned by id and text.
-    drop = gone.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__mark"))
-    again = gone.filter(F.col("kept") & (F.col("group_size") > 1)).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__mark")).count().filter("count > 1").drop("count")
-    path = scratch_path(docs.sparkSession, "drop")
-    drop.withColumn("__repeated", F.lit(False)).unionByName(again.withColumn("__repeated", F.lit(True))).distinct().write.parquet(path)
-    marks = docs.sparkSession.read.schema("__id long, __mark binary, __repeated boolean").parquet(path)
-    tagged = docs.withColumn("__digest", digest_of(text_of())).join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__mark")), "left")
-    once = tagged.filter(F.col("__repeated").isNull())
-    if marks.filter("__repeated").isEmpty():
+    drop = gone.filter(~F.col("kept")).select(F.col("doc_id").alias(own), F.col("digest").alias(again), F.lit(False).alias(repeated))
+    same = gone.filter(F.col("kept") & (F.col("group_size") > 1)).groupBy("doc_id", "digest").count().filter("count > 1")
+    marks = stored(drop.unionByName(same.select(F.col("doc_id").alias(own), F.col("digest").alias(again), F.lit(True).alias(repeated))).distinct(), "drop")
+    tagged = docs.withColumn(digest_, digest_of(text_of())).join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(digest_) == F.col(again)), "left")
+    once = tagged.filter(F.col(repeated).isNull())
+    if marks.filter(repeated).isEmpty():
         return once.select(docs.columns)
-    thinned = tagged.filter("__repeated").dropDuplicates(["doc_id", "__digest"])
+    thinned = tagged.filter(repeated).dropDuplicates(["doc_id", digest_])
     return once.unionByName(thinned).select(docs.columns)
 
 
 class DigestIndex:
     """An index in a folder. Batches are appended as runs of level 0; compaction leaves one run for each shard.
 
-    The number of shards is fixed when the index is made; choose it for the final number of digests.
+    Runs of level 0 are folders of their own; a folder counts when its writer has finished it. Compaction writes a new generation beside the old one,
+    with a list of the batches that it holds, and a pointer names the last complete generation: created once, it either is there or is not. So an
+    interrupted call leaves the index as it was, and may be repeated. Folders that no pointer needs go with the compaction after the next,
+    when readers of the last generation are done with them. The number of shards is fixed when the index is made; choose it for the final number of digests.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 64):
         self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
+        self.log = Markers(spark, f"{self.path}/generations")
+
+    def _state(self) -> tuple[int, str, str, set[str]]:
+        """The last generation, 0 if there is none, its folder, the folder before it, and the batches in it."""
+        number, text = self.log.last()
+        folder, before, *batches = [*text.split("\n"), ""][:2] + text.split("\n")[2:]
+        return number, folder, before, set(batches)
+
+    def _batches(self) -> list[str]:
+        return [b for b in names_in(self.spark, f"{self.path}/level0") if path_exists(self.spark, f"{self.path}/level0/{b}/_SUCCESS")]
+
+    def _folders(self, state: tuple[int, str, str, set[str]], batches: list[str]) -> list[str]:
+        return [f"{self.path}/level0/{b}" for b in batches if b not in state[3]] + ([f"{self.path}/level1/{state[1]}"] if state[0] else [])
 
     def _runs(self) -> DataFrame | None:
-        paths = [p for p in (f"{self.path}/level0", f"{self.path}/level1") if path_exists(self.spark, p)]
-        return self.spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", "true").parquet(*paths) if paths else None
+        paths = self._folders(self._state(), self._batches())
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else None
 
     def append(self, docs: DataFrame, batch: str) -> None:
-        """A batch that was appended before is replaced, so a repeated call changes nothing."""
+        """A batch that was appended before is left alone, so a repeated call changes nothing."""
+        if batch in self._batches() or batch in self._state()[3]:
+            return
+        require_ids(docs, "doc_id")
         ids, _ = _ids("doc_id", "least")
         rows = docs.select(ids.alias("id"), digest_of(text_of()).alias("digest"))
         flush(rows, self.shards).write.mode("overwrite").parquet(f"{self.path}/level0/{batch}")
@@ -229,19 +249,25 @@ class DigestIndex:
             values = [table.column("shard")[0].as_py(), "compacted", len(d), d.tobytes(), a.tobytes(), b.tobytes(), n.tobytes(), make_filter(d).tobytes()]
             return pa.table([[v] for v in values], names=table.column_names)
 
-        runs = self._runs()
-        if runs is not None:
-            runs.groupBy("shard").applyInArrow(run, RUN_SCHEMA).write.parquet(new := f"{self.path}/merging")
-            for level in ("level0", "level1"):
-                delete_path(self.spark, f"{self.path}/{level}")
-            context = self.spark.sparkContext
-            p = context._jvm.org.apache.hadoop.fs.Path
-            p(new).getFileSystem(context._jsc.hadoopConfiguration()).rename(p(new), p(f"{self.path}/level1"))
+        state, batches = self._state(), self._batches()
+        number, folder, before, held = state
+        if not set(batches) - held:
+            return
+        runs, new = self.spark.read.schema(RUN_SCHEMA).parquet(*self._folders(state, batches)), f"{number + 1}-{uuid.uuid4().hex}"
+        runs.groupBy("shard").applyInArrow(run, RUN_SCHEMA).write.parquet(f"{self.path}/level1/{new}")
+        if not self.log.add(number + 1, "\n".join([new, folder, *sorted(held | set(batches))])):
+            return delete_path(self.spark, f"{self.path}/level1/{new}")
+        # Readers of the last generation may go on; nobody who began after it reads what it already held.
+        for b in set(batches) & held:
+            delete_path(self.spark, f"{self.path}/level0/{b}")
+        if before:
+            delete_path(self.spark, f"{self.path}/level1/{before}")
 
     def lookup(self, docs: DataFrame) -> DataFrame:
         """(doc_id, digest, keep_id): the smallest indexed id of each text of docs, null where the index has none.
 
-        Runs whose filter refuses a digest are not searched for it.
+        Runs whose filter refuses a digest are not searched for it. The index holds digests, not texts: bytes are compared where both
+        texts are at hand, in `resolve`; of hits here, `verified` does so against a table of the indexed documents.
         """
 
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -263,3 +289,12 @@ class DigestIndex:
             return ids.withColumn("keep_id", F.lit(None).cast("long"))
         shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 8)), 16, 10).cast("decimal(20,0)"), F.lit(self.shards)).cast("long")
         return ids.withColumn("shard", shard).groupBy("shard").cogroup(runs.groupBy("shard")).applyInArrow(run, "doc_id long, digest binary, keep_id long")
+
+    def verified(self, docs: DataFrame, indexed: DataFrame) -> DataFrame:
+        """lookup() with a hit only where the indexed document of that id has the same bytes; indexed: doc_id, text."""
+        found = self.lookup(docs)
+        texts = indexed.select(F.col("doc_id").cast("long").alias("keep_id"), digest_of(text_of()).alias("digest"), text_of().alias("old"))
+        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(text_of()).alias("digest"), text_of().alias("new")).dropDuplicates(["doc_id", "digest", "new"])
+        hits = found.filter("keep_id is not null").distinct()
+        same = hits.join(texts.dropDuplicates(["keep_id", "digest", "old"]), ["keep_id", "digest"]).join(asked, ["doc_id", "digest"]).filter(F.col("old") == F.col("new")).select("doc_id", "digest", F.col("keep_id").alias("sure")).distinct()
+        return found.join(same, ["doc_id", "digest"], "left").select("doc_id", "digest", F.col("sure").alias("keep_id"))

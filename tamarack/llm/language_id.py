@@ -8,7 +8,7 @@ rows. A third of those is held back to calibrate: a temperature makes scores pro
 REJECT_SHARE of right answers fall becomes the threshold of rejection.
 
 Training takes about `train_rows` labelled rows, an equal share of each language, those of the smallest hash of the id, and never more
-than twice as many, which bounds memory on the driver; whole texts are used. Prediction folds embedding and layer into one table of BUCKETS x languages.
+than twice as many, which bounds memory on the driver; whole texts are used. More than MOST_LANGUAGES languages are an error. Prediction folds embedding and layer into one table of BUCKETS x languages.
 
 Defined results: a text that is null or has no letter is `und` with score 0. Without labelled rows all texts are `und`.
 Ties between languages go to the first in alphabetical order. Only the text decides: id, source and language of a row
@@ -31,6 +31,8 @@ from .common import require
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 TRAIN_ROWS, EPOCHS, BATCH, RATE = 3000, 12, 32, 20.0
 REJECT_SHARE = 0.005
+#: More languages are an error, as the model has a column for each.
+MOST_LANGUAGES = 3000
 _STEPS = 1 << 30
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -39,13 +41,24 @@ _CHUNK = 1 << 19
 
 def features(text: str) -> np.ndarray:
     """Buckets of the features of a text, in order, repeats included."""
+    code = codes(text)
+    return grams(code, 0, len(code))
+
+
+def codes(text: str) -> np.ndarray:
+    """Code points of the text as features see it."""
     plain = f" {_OTHER.sub(' ', text.lower()).strip()} "
-    code = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out, h = [], np.zeros(len(code), np.uint32)
+    return np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def grams(code: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Buckets of the n-grams that begin at a or later and before b."""
+    out, h = [], np.zeros(max(0, min(b, len(code)) - a), np.uint32)
     for n in range(1, max(ORDERS) + 1):
-        if len(code) < n:
+        count = min(b, len(code) - n + 1) - a
+        if count <= 0:
             break
-        h = (h[: len(code) - n + 1] * np.uint32(0x01000193)) ^ (code[n - 1 :] * np.uint32(0x9E3779B1))
+        h = (h[:count] * np.uint32(0x01000193)) ^ (code[a + n - 1 : a + n - 1 + count] * np.uint32(0x9E3779B1))
         if n in ORDERS:
             x = h ^ (h >> np.uint32(15))
             x = x * np.uint32(0x85EBCA6B)
@@ -62,11 +75,10 @@ class Model:
     threshold: float
 
     def logits(self, text: str) -> np.ndarray:
-        """In parts, so that long texts take bounded memory."""
-        total, n = np.zeros(len(self.languages)), 0
-        step = _CHUNK
-        for at in range(0, len(text), step):
-            f = features(text[at : at + step])
+        """Of the whole text; n-grams are summed in parts by where they begin, so that long texts take little memory."""
+        total, n, code = np.zeros(len(self.languages)), 0, codes(text)
+        for at in range(0, len(code), _CHUNK):
+            f = grams(code, at, at + _CHUNK)
             total += np.bincount(f, minlength=BUCKETS) @ self.table if len(f) > BUCKETS else self.table[f].sum(axis=0, dtype=np.float64)
             n += len(f)
         return total / max(n, 1) + self.bias
@@ -124,7 +136,9 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """labelled: doc_id, text, lang. Of each language an equal share of train_rows is taken by hash of the id, give or take chance, and never more than twice train_rows in all."""
     require(labelled, "doc_id", "text", "lang")
     own = labelled.select("text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(_STEPS)).alias("h")).filter("lang is not null and text is not null")
-    counts = own.groupBy("lang").count().orderBy("lang").limit(train_rows).collect()
+    counts = own.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     if not counts:
         return fit([], [])
     share = max(1, train_rows // len(counts))

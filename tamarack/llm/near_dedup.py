@@ -7,21 +7,27 @@ sum of minima over the sum of maxima, is THRESHOLD or more. Classes are the conn
 1. Documents are dealt into blocks. Each block asks for the document frequencies of its distinct shingles, sorted
    and packed by range of the shingle's hash; each range is summed over all blocks and answered to each block.
 2. A document of whose weight other documents hold too little to reach THRESHOLD with any of them is a class of its own.
-   For each other the block draws SAMPLES consistent weighted samples. The random variables of a shingle and a sample
-   come from tables of 65,536 draws addressed by a hash. Samples are joined to bands of ROWS.
-3. Documents with the same weighted shingles are one entity. Entities that share a band's value are candidates.
-   Within a bucket some members are leaders, and only pairs of a leader and a member that no link connects yet are
-   verified, exactly; from the second round on only pairs of which at least AGREE samples agree. Leaders leave the bucket, components are updated, and the next round takes more leaders,
-   until no bucket holds two components. So large groups cost little and no candidate pair is given up.
+   For each other the block draws ROWS * BANDS consistent weighted samples: the chosen shingle and its quantised level, so that
+   two documents agree in a sample with the probability of their similarity. Samples are joined to bands of ROWS.
+3. Documents with the same weighted shingles are one entity. Entities that share a band's value, a bucket, are candidates. In each bucket
+   the member with the most candidates leads, and all others are compared with it, exactly: of copies of one text that
+   is the text itself or one that is close to it, and what is not linked to it is little.
+4. What is left are pairs of members of different components. Of a bucket that has few members, or few
+   outside its largest component, all of those are compared (`SMALL`, `MINOR`): a member has a bounded number of partners there.
+   Members of other buckets, which agree by chance, as on a passage that many documents hold, are dealt into buckets again, by
+   FINE_BANDS bands of FINE_ROWS samples, and 3 and 4 are done once more, now with all pairs that are left.
+
+So no candidate pair of different components is given up, and no bucket is paired off as a whole unless its members agree in FINE_ROWS samples.
 
 A document without words is a class of its own. Null text counts as empty; documents of fewer than five words have one
 shingle of all of them. Rows that repeat share a class. The class id is the smallest id in it (null ids lose to others).
-An empty table gives an empty result; columns other than doc_id and text do not matter.
+An empty table gives an empty result; columns other than doc_id and text do not matter. Ids are whole numbers; others raise an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,40 +36,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
-from .common import block_count, block_of, release, require, stored, text_of, trimmed
+from .common import block_count, block_of, dropped, mark_of, require, require_ids, stored, text_of, trimmed
 from .pack import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from .words import mix, shingle_hashes
 
 THRESHOLD = 0.8
 ROWS, BANDS = 3, 10
-#: Samples of a document, the first ROWS * BANDS of which make bands; and how many have to agree, of all, for a pair of the
-#: later rounds to be verified. Of pairs with a similarity of 0.8 fewer agree with a probability under 1e-5.
-SAMPLES, AGREE = 192, 128
+#: Bands of members of crowded buckets. A pair of similarity 0.8 shares none with a probability of 0.0002.
+FINE_ROWS, FINE_BANDS, FINE_SAMPLES = 8, 48, 192
+#: A bucket is compared in whole if it has so many members at most, or so many outside its largest component.
+SMALL, MINOR = 64, 32
 #: Text bytes of a block, which bound a worker's arrays.
 BLOCK_BYTES = 4 << 20
-#: Bits of a shingle's hash, which leave room for a position beside them.
-HASH_BITS = 43
 #: Pairs of one leader that one group verifies on average.
 GROUP_PAIRS = 128
-_POSITION_BITS = 64 - HASH_BITS
 _CHUNK = 1 << 16
 
 
 def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of keys (below 2**HASH_BITS) in ascending order of key, and where in it each distinct key begins."""
-    if len(keys) < 1 << _POSITION_BITS:
-        both = np.sort((keys << np.uint64(_POSITION_BITS)) | np.arange(len(keys), dtype=np.uint64))
-        order, ordered = (both & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64), both >> np.uint64(_POSITION_BITS)
-    else:
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
+    """Positions of keys in ascending order of key, and where in it each distinct key begins."""
+    order = np.argsort(keys)
+    ordered = keys[order]
     return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1]]))
 
 
 def shingles_of_block(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Distinct shingles of a block, ascending; then, ordered by document, for each document's distinct shingles: document, place among the block's, frequency."""
-    hashes, offset = shingle_hashes(texts)
-    keys = hashes >> np.uint64(64 - HASH_BITS)
+    keys, offset = shingle_hashes(texts)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(offset))
     order, first = ranked(keys)
     place = np.zeros(len(keys), np.uint64)
@@ -74,8 +73,8 @@ def shingles_of_block(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
     """Where each of n ranges begins in ascending keys."""
-    edges = np.array([-(-(i << HASH_BITS) // n) for i in range(n + 1)], np.uint64)
-    return np.searchsorted(keys, edges)
+    edges = np.array([-(-(i << 64) // n) for i in range(n)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
 
 
 @lru_cache(maxsize=1)
@@ -85,54 +84,49 @@ def _draws() -> tuple[np.ndarray, ...]:
     return tuple(x.astype(np.float32) for x in (r, 1 / r, rng.random(1 << 16), np.log(rng.gamma(2, 1, 1 << 16))))
 
 
-def sample(keys: np.ndarray, log_weight: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """SAMPLES samples (32 bits of the chosen shingle) of each document; start: where the documents' shingles begin."""
+def sample(keys: np.ndarray, log_weight: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """n samples of each document, 32 bits of the chosen shingle and level; start: where the documents' shingles begin."""
     r, inverse, beta, log_c = _draws()
-    out = np.zeros((len(start), SAMPLES), np.uint32)
+    out = np.zeros((len(start), n), np.uint32)
     ends = np.append(start[1:], len(keys))
-    lo = 0
+    low, lo = np.uint64(0xFFFF), 0
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(ends, start[lo] + _CHUNK, "right")))
         own, lw, at = keys[start[lo] : ends[hi - 1]], log_weight[start[lo] : ends[hi - 1]], start[lo:hi] - start[lo]
-        name = mix(own) & np.uint64(0xFFFFFFFF)
-        for k in range(SAMPLES):
+        name = mix(own)
+        for k in range(n):
             x = own * np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 1) % (1 << 62)) + 1)
             x ^= x >> np.uint64(29)
             x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
             i = (x >> np.uint64(48)).astype(np.int32)
-            rk, bk = r[i], beta[i]
-            value = log_c[i] - rk * (np.floor(lw * inverse[i] + bk) - bk + np.float32(1))
+            rk, bk = r[i], beta[((x >> np.uint64(32)) & low).astype(np.int32)]
+            level = np.floor(lw * inverse[i] + bk)
+            value = log_c[((x >> np.uint64(16)) & low).astype(np.int32)] - rk * (level - bk + np.float32(1))
             bits = value.view(np.int32)
             bits = (bits ^ ((bits >> 31) | np.int32(-(1 << 31)))).view(np.uint32)
-            out[lo:hi, k] = np.minimum.reduceat((bits.astype(np.uint64) << np.uint64(32)) | name, at) & np.uint64(0xFFFFFFFF)
+            chosen = (name + level.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            out[lo:hi, k] = np.minimum.reduceat((bits.astype(np.uint64) << np.uint64(32)) | chosen, at) & np.uint64(0xFFFFFFFF)
         lo = hi
     return out
 
 
-def bands_of(samples: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(samples), BANDS), np.uint64)
-    for j in range(BANDS):
+def bands_of(samples: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """A number for each band of a document; chosen: for each band which samples make it."""
+    out = np.zeros((len(samples), len(chosen)), np.uint64)
+    for j, band in enumerate(chosen):
         h = np.full(len(samples), j + 1, np.uint64)
-        for i in range(ROWS):
-            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + samples[:, j * ROWS + i])
+        for i in band:
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + samples[:, i])
         out[:, j] = h
     return out.view(np.int64)
 
 
-def lanes_of(samples: np.ndarray) -> np.ndarray:
-    """Eight bits of each sample, eight samples to a number."""
-    return np.ascontiguousarray((mix(samples.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)).view(np.int64)
-
-
-def agreement(a: Column, b: Column) -> Column:
-    """How many lanes of two documents are equal."""
-    differ = F.lit(0)
-    for i in range(SAMPLES // 8):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(SAMPLES) - differ
+@lru_cache(maxsize=1)
+def _fine_bands() -> np.ndarray:
+    """Bands of samples, each drawn without repeats."""
+    rng = np.random.default_rng(82)
+    return np.stack([rng.choice(FINE_SAMPLES, FINE_ROWS, replace=False) for _ in range(FINE_BANDS)])
 
 
 def weights(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -147,14 +141,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / total) if total > 0 else 0.0
 
 
-SKETCH = "doc_id long, same binary, weight double, bands array<long>, lanes array<long>, shingles binary, tf binary, df binary"
+SKETCH = "doc_id long, mark long, same binary, weight double, bands array<long>, shingles binary, tf binary, df binary"
 
 
 def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document with words, stored; all but doc_id is null where no link is possible."""
-    require(docs, "doc_id", "text")
+    """A row for each document with words, stored; all but doc_id and mark is null where no link is possible."""
+    require_ids(docs, "doc_id")
+    require(docs, "text")
     n_docs, n_blocks = block_count(docs, text_of(), BLOCK_BYTES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), block_of(n_blocks, F.col("doc_id"), text_of()).alias("block"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of().alias("mark"), text_of().alias("text"), block_of(n_blocks, F.col("doc_id"), text_of()).alias("block"))
     n_ranges = max(1, n_blocks // 2)
 
     @trimmed
@@ -176,7 +171,7 @@ def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     @trimmed
     def draw(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64())), ("shingles", pa.binary()), ("tf", pa.binary()), ("df", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("same", pa.binary()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("tf", pa.binary()), ("df", pa.binary())])
         keys, doc, place, tf = shingles_of_block(left.column("text").to_pylist()) if left.num_rows else (np.zeros(0, np.uint64),) * 4
         if not len(keys):
             return schema.empty_table()
@@ -187,18 +182,17 @@ def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         total, shared, number = np.add.reduceat(w, start), np.add.reduceat(np.where(df > 1, w, 0), start), doc[start]
         # No similarity can exceed the share of weight that other documents hold too.
         close = shared >= (threshold - 1e-9) * total
-        ids = left.column("doc_id").to_pylist()
-        out = [(ids[i], *[None] * 7) for i in number[~close]]
+        ids = list(zip(*(left.column(c).to_pylist() for c in ("doc_id", "mark")), strict=True))
+        out = [(*ids[i], *[None] * 6) for i in number[~close]]
         kept = np.repeat(close, np.diff(np.append(start, len(doc))))
         own, w, tf, df = keys[place[kept]], w[kept], tf[kept], df[kept]
         number, total = number[close], total[close]
         start = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), np.diff(doc[kept]) != 0]))
-        samples = sample(own, np.log(w).astype(np.float32), start)
-        bands, lanes = bands_of(samples), lanes_of(samples)
+        bands = bands_of(sample(own, np.log(w).astype(np.float32), start, ROWS * BANDS), np.arange(ROWS * BANDS).reshape(BANDS, ROWS))
         for i, (a, b) in enumerate(zip(start, np.append(start, len(own))[1:], strict=True)):
             shingles, counts = own[a:b], tf[a:b]
             same = hashlib.blake2b(shingles.tobytes() + counts.astype(np.int64).tobytes(), digest_size=16).digest()
-            out.append((ids[number[i]], same, float(total[i]), bands[i].tolist(), lanes[i].tolist(), pack_sorted(shingles), pack_counts(counts), pack_counts(df[a:b])))
+            out.append((*ids[number[i]], same, float(total[i]), bands[i].tolist(), pack_sorted(shingles), pack_counts(counts), pack_counts(df[a:b])))
         return pa.table([pa.array([x[k] for x in out], t.type) for k, t in enumerate(schema)], schema=schema)
 
     asked = rows.groupBy("block").applyInArrow(ask, "range long, block long, keys binary, n binary")
@@ -207,29 +201,38 @@ def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) to (node, root) for all their nodes; root is the smallest node that is connected.
+    """Edges (a, b) to (node, root) for all their nodes; root is a node that is connected, the same for all that are.
 
-    Each node hooks onto its smallest neighbour, paths are shortened by doubling, and edges are contracted.
+    Each node hooks onto its smallest neighbour, paths are shortened by doubling, and edges are contracted. A path that is longer
+    than that stays as an edge of the next round.
     """
-    edges = edges.checkpoint()
-    nodes = None
-    while not edges.isEmpty():
+    edges, found = edges.checkpoint(), None
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")).checkpoint()
-        while True:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            parent = parent.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")).checkpoint()
-            moved = not parent.filter("moved").isEmpty()
-            parent = parent.select("node", "root")
-            if not moved:
-                break
-        if nodes is None:
-            nodes = parent
-        else:
-            nodes = nodes.join(parent.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")).checkpoint()
-        a, b = (parent.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
-        edges = edges.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b").distinct().checkpoint()
-    return nodes if nodes is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")).checkpoint()
+        for _ in range(2):
+            up = _hop(up.select("node", F.col("root").alias("last")), up, "last").select("node", F.col("next").alias("root"))
+        up = up.checkpoint()
+        found = up if found is None else _hop(found, up, "root").select("node", F.coalesce("next", "root").alias("root"))
+        ends = [up.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+        contracted = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        longer = up.select(F.col("root").alias("a")).distinct().join(ends[0], "a").select("a", F.col("a_root").alias("b"))
+        edges = contracted.unionByName(longer).filter("a <> b").distinct().checkpoint()
+        if edges.isEmpty():
+            return found
+
+
+def _hop(nodes: DataFrame, up: DataFrame, column: str) -> DataFrame:
+    """nodes with `next`, the root in up of the node that the column names."""
+    return nodes.join(up.select(F.col("node").alias(column), F.col("root").alias("next")), column, "left")
+
+
+def features_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles and weights of the documents of a table, and where each begins."""
+    keys = [unpack_sorted(x) for x in table.column("shingles").to_pylist()]
+    tf, df = (np.concatenate([unpack_counts(x) for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("tf", "df"))
+    start = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(k) for k in keys])[:-1]])
+    return np.concatenate(keys), weights(tf, df, table.column("n_docs")[0].as_py()), start
 
 
 def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
@@ -242,62 +245,108 @@ def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
     right = right.toDF(*right.columns)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        def features_of(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
-            keys, tf, df = unpack_sorted(t.column("shingles")[i].as_py()), unpack_counts(t.column("tf")[i].as_py()), unpack_counts(t.column("df")[i].as_py())
-            return keys, weights(tf.astype(np.int64), df.astype(np.int64), t.column("n_docs")[i].as_py())
-
-        own = features_of(right, 0) if right.num_rows and left.num_rows else None
-        keep = [i for i in range(left.num_rows) if own is not None and similarity(own, features_of(left, i)) >= threshold - 1e-9]
-        return left.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        if not (left.num_rows and right.num_rows):
+            return left.select(["a", "b"]).slice(0, 0)
+        own, weight, _ = features_of(right)
+        keys, w, start = features_of(left)
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        both = np.add.reduceat(np.where(own[at] == keys, np.minimum(weight[at], w), 0), start)
+        similar = both >= (threshold - 1e-9) * (weight.sum() + np.add.reduceat(w, start) - both)
+        return left.select(["a", "b"]).filter(pa.array(similar))
 
     return left.groupBy("a", "salt").cogroup(right.groupBy("a", "salt")).applyInArrow(run, "a binary, b binary")
 
 
+def fine_bands(features: DataFrame) -> DataFrame:
+    """Features (same, weight and the shingles) to (same, weight, bands), by FINE_BANDS bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys, w, start = features_of(pa.Table.from_batches([batch]))
+                bands = bands_of(sample(keys, np.log(w).astype(np.float32), start, FINE_SAMPLES), _fine_bands())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands.tolist(), pa.list_(pa.int64()))], ["same", "weight", "bands"])
+
+    own = features.select("same", "weight", "shingles", "tf", "df", "n_docs")
+    return own.mapInArrow(run, "same binary, weight double, bands array<long>")
+
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """Rows with `bands` to a row (with bucket, and n, its members) for each bucket that two or more share, stored."""
+    each = rows.withColumn("bucket", F.explode("bands"))
+    sizes = rows.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return stored(each.join(sizes, "bucket"), "buckets")
+
+
+def _merged(pairs: DataFrame, labels: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """labels after the links among pairs (a, b, a_root, b_root)."""
+    pairs = stored(pairs.distinct(), "pairs")
+    similar = stored(verify(pairs.select("a", "b"), features, threshold), "links")
+    if similar.isEmpty():
+        return labels
+    edges = similar.join(pairs, ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return stored(labels.join(moved, "root", "left").select("same", F.coalesce("next", "root").alias("root")), "labels")
+
+
+def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold: float, whole: bool) -> tuple[DataFrame, DataFrame | None]:
+    """labels after the links in buckets (bucket, n, same, weight), and the members of crowded buckets; none if all pairs are compared (whole, for which buckets have bands)."""
+    close = F.least("weight", "a_weight") >= threshold * F.greatest("weight", "a_weight") - 1e-9
+    bands = ["bands"] if whole else []
+    central = buckets.groupBy("same").agg(F.sum("n").alias("central"))
+    known = stored(buckets.select("bucket", "same", "weight", *bands).join(central.join(labels, "same"), "same"), "members")
+    # The leader is the member with the most candidates; ties go by hash.
+    first = F.max(F.struct("central", F.xxhash64("same").alias("h"), "same", "root", "weight")).alias("l")
+    leaders = known.groupBy("bucket").agg(first).select("bucket", F.col("l.same").alias("a"), F.col("l.root").alias("a_root"), F.col("l.weight").alias("a_weight"))
+    led = known.join(leaders, "bucket").filter((F.col("same") != F.col("a")) & (F.col("root") != F.col("a_root")) & close)
+    labels = _merged(led.select("a", F.col("same").alias("b"), "a_root", F.col("root").alias("b_root")), labels, features, threshold)
+
+    # Leaders have met all others of their buckets.
+    left = known.select("bucket", "same", "weight", *bands).join(leaders.select("bucket", F.col("a").alias("same")), ["bucket", "same"], "left_anti").join(labels, "same")
+    left = stored(left, "members")
+    roots = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = roots.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    few = F.lit(whole) | (F.col("n") <= SMALL) | (F.col("n") - F.col("top.n") <= MINOR)
+    open_ = stored(sizes.select("bucket", F.col("top.root").alias("top"), few.alias("few")), "open")
+    if open_.isEmpty():
+        return labels, None
+    met = left.join(open_.filter("few"), "bucket")
+    minor = met.filter(F.col("root") != F.col("top")).select("bucket", F.col("same").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight"), *(F.col(c).alias("a_bands") for c in bands))
+    # Of two members outside the largest component the smaller asks.
+    once = (F.col("root") == F.col("top")) | (F.col("a") < F.col("same"))
+    if whole:
+        # A pair is of the first bucket that it shares; where one of the two led that, they have met.
+        both = F.filter(F.zip_with("bands", "a_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        once &= F.get(both, F.lit(0)) == F.col("bucket")
+    rest = met.join(minor, "bucket").filter((F.col("root") != F.col("a_root")) & once & close)
+    labels = _merged(rest.select("a", F.col("same").alias("b"), "a_root", F.col("root").alias("b_root")), labels, features, threshold)
+    crowded = None if whole else left.join(open_.filter("not few"), "bucket").select("same").distinct()
+    return labels, crowded
+
+
 def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """Entities (same, rep, weight, bands, lanes) that have links, as (same, root); None if there are none."""
-    rows = entities.select("same", "weight", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = stored(rows.join(shared, "bucket"), "members")
-    candidates = stored(members.select("same").distinct().join(entities.select("same", "rep", "lanes"), "same"), "candidates")
+    """Entities (same, rep, weight, bands) that have candidates, as (same, root); None if there are none."""
+    buckets = shared_buckets(entities.select("same", "weight", "bands"))
+    candidates = stored(buckets.select("same").distinct().join(entities.select("same", "rep"), "same"), "candidates")
     n = candidates.count()
     if not n:
         return None
-    few = passing(sketches.filter("same is not null"), "same", bloom_of(candidates.select("same"), n))
-    features = few.drop("lanes").join(candidates.select(F.col("same").alias("_same"), "rep"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    features = stored(features.select("same", "shingles", "tf", "df", "n_docs").dropDuplicates(["same"]), "features")
-    members = members.withColumn("root", F.col("same"))
-    labels = candidates.select("same", F.col("same").alias("root"))
-    leaders_per_bucket = 1
-    while True:
-        # Of each slot of a bucket the member of the smallest hash leads.
-        if leaders_per_bucket > 1:
-            members = members.join(candidates.select("same", "lanes"), "same")
-        order = F.struct(F.xxhash64("same"), "same", "root", "weight", *(["lanes"] if leaders_per_bucket > 1 else []))
-        slot = F.pmod(F.xxhash64("same", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
-        leaders = members.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("l")).select("bucket", F.col("l.same").alias("a"), F.col("l.root").alias("a_root"), F.col("l.weight").alias("a_weight"), *([F.col("l.lanes").alias("a_lanes")] if leaders_per_bucket > 1 else []))
-        close = F.least("weight", "a_weight") >= threshold * F.greatest("weight", "a_weight") - 1e-9
-        if leaders_per_bucket > 1:
-            close &= agreement(F.col("lanes"), F.col("a_lanes")) >= AGREE
-        pairs = members.join(leaders, "bucket").filter((F.col("root") != F.col("a_root")) & (F.col("a") != F.col("same")) & close)
-        pairs = stored(pairs.select("a", F.col("same").alias("b"), "a_root", F.col("root").alias("b_root")).distinct(), "pairs")
-        similar = stored(verify(pairs.select("a", "b"), features, threshold), "links")
-        if not similar.isEmpty():
-            edges = similar.join(pairs, ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
-            moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = stored(labels.join(moved, "root", "left").select("same", F.coalesce("next", "root").alias("root")), "labels")
-        left = members.drop("root", "lanes").join(leaders.select("bucket", F.col("a").alias("same")), ["bucket", "same"], "left_anti").join(labels, "same")
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("bucket")
-        members = stored(left.join(open_, "bucket").select("bucket", "same", "weight", "root"), "members")
-        if members.isEmpty():
-            return labels
-        leaders_per_bucket *= 6
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, class_size, kept (the document is its class's first) for all rows of docs."""
+    # One row of each entity is read: the filter is of entity and id, so that copies are not shuffled.
+    chosen = lambda i: F.unhex(F.md5(F.concat(F.hex("same").cast("binary"), F.coalesce(F.col(i).cast("string"), F.lit("")).cast("binary")))).alias("chosen")
+    few = passing(sketches.filter("same is not null").withColumn("chosen", chosen("doc_id")), "chosen", bloom_of(candidates.select(chosen("rep")), n)).drop("chosen")
+    features = few.join(candidates.select(F.col("same").alias("_same"), "rep"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    features = stored(features.select("same", "weight", "shingles", "tf", "df", "n_docs").dropDuplicates(["same"]), "features")
+    labels, crowded = settle(buckets, candidates.select("same", F.col("same").alias("root")), features, threshold, whole=False)
+    if crowded is not None and not crowded.isEmpty():
+        fine = stored(fine_bands(features.join(crowded, "same", "left_semi")), "fine")
+        labels, _ = settle(shared_buckets(fine), labels, features, threshold, whole=True)
+    return labels
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """classes() with `mark`, the hash of the row's text."""
     sketches = sketch(docs, threshold)
-    release(docs.sparkSession)
-    entities = stored(sketches.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes")), "entities")
+    entities = stored(sketches.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "entities")
     labels = linked(entities, sketches, threshold)
     own = entities.select("same", "rep", "n")
     if labels is None:
@@ -306,10 +355,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         in_class = own.join(labels, "same", "left").withColumn("root", F.coalesce("root", "same"))
         ids = in_class.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
         roots = in_class.join(ids, "root").select("same", "class_id", "class_size")
-    found = sketches.filter("same is not null").select("doc_id", "same").join(roots, "same").select("doc_id", "class_id", "class_size")
-    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(~has_words(F.col("text"))).select("doc_id")
-    alone = sketches.filter("same is null").select("doc_id").unionByName(bare)
-    return found.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    roots = stored(roots, "roots")
+    found = sketches.filter("same is not null").select("doc_id", "mark", "same").join(roots, "same").select("doc_id", "mark", "class_id", "class_size")
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of().alias("mark"), text_of().alias("text")).filter(~has_words(F.col("text"))).select("doc_id", "mark")
+    alone = sketches.filter("same is null").select("doc_id", "mark").unionByName(bare)
+    return found.unionByName(alone.select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, class_size, kept (the document is its class's first) for all rows of docs."""
+    return _classes(docs, threshold).drop("mark")
 
 
 def has_words(text: Column) -> Column:
@@ -318,7 +373,6 @@ def has_words(text: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that are not their class's first. Rows that repeat their id stay or go together."""
-    gone = classes(docs, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    gone = stored(gone, "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """docs without the rows that are not their class's first. Rows that repeat id and text stay or go together; rows without words stay."""
+    gone = _classes(docs, threshold).filter(~F.col("kept"))
+    return dropped(docs, gone.select("doc_id", "mark"))

@@ -2,8 +2,9 @@
 
 Base kinds (email, ip, card, phone) are found leftmost and without overlap within a kind;
 a match that its validator refuses is dropped and not tried again further right. Added kinds are `iban`
-(mod-97), `ssn` (issued area, group and serial numbers) and `secret` (a key word, then a long token).
-They only add spans: base spans always stay, whatever their score.
+(mod-97), `ssn` (issued area, group and serial numbers), `secret` (a key word, then a long token) and `key` (a token of a known form).
+They only add spans, where their score is LEAST or more: so a number like an SSN counts only near words that say so.
+Base spans always stay, whatever their score.
 
 A null or empty text has no spans. Offsets count code points, ends are exclusive. Rows that
 repeat are answered each; columns beyond doc_id and text are neither read nor returned.
@@ -22,16 +23,18 @@ from pyspark.sql import functions as F
 from .common import require, text_of
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn", "secret")
+ADDED = ("iban", "ssn", "secret", "key")
 KINDS = BASE + ADDED
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only begin with its first run of digits, which is never given back: linear in the text.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_BARE = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
 _SECRET = re.compile(r"(?i)(?:api[_-]?key|secret|token|password|passwd)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_/+=-]{16,})")
 
 #: Words near a span that make its kind likelier, in lower case.
@@ -43,11 +46,14 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
     "secret": ("key", "secret", "token", "password"),
+    "key": ("key", "secret", "token", "password"),
 }
 #: Score of a confirmed span without context, what context adds, and how many characters on either side count.
-PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.9, "ssn": 0.5, "secret": 0.6}
+PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.9, "ssn": 0.5, "secret": 0.6, "key": 0.8}
 CONTEXT_GAIN = 0.2
 CONTEXT_CHARS = 40
+#: Score from which a span of an added kind counts.
+LEAST = 0.6
 
 
 @dataclass(frozen=True)
@@ -108,6 +114,8 @@ def added_spans(text: str) -> list[tuple[int, int, int]]:
     found += [(m.start(), 5, m.end()) for m in _SSN.finditer(text) if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"]
     if ":" in text or "=" in text:
         found += [(m.start(1), 6, m.end(1)) for m in _SECRET.finditer(text)]
+    known = {a for a, k, _ in found if k == 6}
+    found += [(m.start(), 7, m.end()) for m in _BARE.finditer(text) if m.start() not in known]
     return sorted(found)
 
 
@@ -117,7 +125,7 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, PRIOR[kind] + CONTEXT_GAIN * any(w in words for w in CONTEXT[kind]))
 
 
-def find(text: str | None, least: float = 0.0) -> list[Span]:
+def find(text: str | None, least: float = LEAST) -> list[Span]:
     """All spans of a text; added kinds only where their score is `least` or more."""
     text = text or ""
     out = []
@@ -138,7 +146,7 @@ def redact(text: str | None, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def detect(docs: DataFrame, least: float = 0.0) -> DataFrame:
+def detect(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and its spans: array of (kind, start, end, score)."""
     require(docs, "doc_id", "text")
     rows = docs.select("doc_id", text_of().alias("text"))
@@ -154,9 +162,9 @@ def detect(docs: DataFrame, least: float = 0.0) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the hash of the base spans, and all spans as text."""
+    """Counts of the base kinds, the hash of the base spans, all spans and their scores as text, and the number of all spans."""
     listed = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return detect(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return detect(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"), F.size("spans").cast("long").alias("n_spans"))

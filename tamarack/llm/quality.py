@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, release, require, stored, text_of, trimmed
+from .common import block_count, dropped, mark_of, release, require, require_ids, stored, text_of, trimmed
 from .pack import pack_counts, pack_floats, pack_sorted, pack_text, unpack_counts, unpack_floats, unpack_sorted, unpack_text
 from .words import mix
 
@@ -45,6 +45,8 @@ SHRINK = 60
 QUANTILE = 0.995
 FOLDS = 5
 MEAN_PULL = 1
+#: Rows of a table by language that are broadcast at most.
+BROADCAST_LANGUAGES = 1 << 16
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,23 +249,24 @@ def folds_of(ids: pa.ChunkedArray, trusted: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, n (symbols), nll (natural, of the model without fold 0), out_nll (of the model without the own fold; null unless trusted), calibrates (of fold 0); stored.
+    """doc_id, mark (the hash of the text), lang, n (symbols), nll (natural, of the model without fold 0), out_nll (of the model without the own fold; null unless trusted), calibrates (of fold 0); stored.
 
     trusted: doc_id of trusted documents, distinct.
     """
-    require(docs, "doc_id", "text")
+    require_ids(docs, "doc_id")
+    require(docs, "text")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     _, n_blocks = block_count(docs, text_of(), BLOCK_BYTES)
     n_shards = max(4, n_blocks // 16)
     block = lambda *k: F.pmod(F.xxhash64(F.coalesce(*k)), F.lit(n_blocks)).cast("long").alias("block")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_of().alias("text"), block(F.col("doc_id").cast("string"), text_of()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_of().alias("text"), mark_of().alias("mark"), block(F.col("doc_id").cast("string"), text_of()))
 
     def packed(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array([pack_text(t) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "lang", "block", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 4)), pa.array([pack_text(t) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "lang", "mark", "block", "packed"])
 
     # Texts are shuffled twice; packed one by one they take a third less than by the shuffle's own compression.
-    rows = rows.mapInArrow(packed, "doc_id long, lang string, block long, packed binary")
+    rows = rows.mapInArrow(packed, "doc_id long, lang string, mark long, block long, packed binary")
     texts = lambda table: [unpack_text(x) for x in table.column("packed").to_pylist()]
     known = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     train = known.select(F.col("doc_id").alias("id"), block(F.col("doc_id").cast("string")))
@@ -299,7 +302,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     @trimmed
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["doc_id", "lang", "n", "nll", "out_nll", "calibrates"], (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+        names, kinds = ["doc_id", "mark", "lang", "n", "nll", "out_nll", "calibrates"], (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         keys, order, first, text = ngrams(*symbols(texts(left)))
@@ -322,7 +325,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         for k in range(1, FOLDS):
             if (at := owner == k).any():
                 each[at] = log_p(k, np.unique(place[at]))[place[at]]
-        return pa.table([left.column("doc_id"), left.column("lang"), pa.array(n.astype(np.int64) - 1), pa.array(nll), pa.array(total(), mask=fold < 0), pa.array(fold == 0)], names=names)
+        return pa.table([left.column("doc_id"), left.column("mark"), left.column("lang"), pa.array(n.astype(np.int64) - 1), pa.array(nll), pa.array(total(), mask=fold < 0), pa.array(fold == 0)], names=names)
 
     asked = rows.groupBy("block").cogroup(train.groupBy("block")).applyInArrow(ask, "trusted boolean, shard long, fold long, block long, keys binary, counts binary")
     pieces = stored(asked, "pieces")
@@ -330,13 +333,19 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     answered = asking(pieces).groupBy("shard", "fold").cogroup(log_probabilities(pieces).groupBy("shard", "fold")).applyInArrow(answer, "block long, shard long, fold long, found binary")
     answered = answered.unionByName(pieces.filter("trusted is null").select("block", "shard", "fold", F.col("keys").alias("found")))
-    return stored(rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add, "doc_id long, lang string, n long, nll double, out_nll double, calibrates boolean"), "scores")
+    return stored(rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add, "doc_id long, mark long, lang string, n long, nll double, out_nll double, calibrates boolean"), "scores")
+
+
+def _few(by_language: DataFrame) -> DataFrame:
+    """A stored table of a row for each language, broadcast if those are few, as they are unless the column holds something else."""
+    by_language = stored(by_language, "languages")
+    return F.broadcast(by_language) if by_language.count() <= BROADCAST_LANGUAGES else by_language
 
 
 def judged(found: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, score (bits per symbol, shrunk), threshold, rejected."""
+    """doc_id, mark, lang, n_symbols, perplexity, score (bits per symbol, shrunk), threshold, rejected."""
     bits = F.log(F.lit(2.0))
-    found = found.select("doc_id", "lang", "n", F.coalesce("out_nll", "nll").alias("nll"), (F.col("out_nll").isNotNull() & (F.col("n") > 0)).alias("usable"))
+    found = found.select("doc_id", "mark", "lang", "n", F.coalesce("out_nll", "nll").alias("nll"), (F.col("out_nll").isNotNull() & (F.col("n") > 0)).alias("usable"))
     whole = found.filter("usable").agg((F.sum("nll") / F.sum("n")).alias("m")).first()["m"]
     pull = 1 / max(1 - quantile, 1e-9)
     towards = lambda own, pooled, by: (F.col("n_docs") * own + by * pooled) / (F.col("n_docs") + by)
@@ -345,15 +354,15 @@ def judged(found: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     # One row for each language; rows without a language meet none.
     mean = F.coalesce("own_mean", F.lit(whole))
     score = F.when(F.col("n") > 0, (F.col("nll") + SHRINK * F.coalesce(mean, F.col("nll") / F.col("n"))) / (F.col("n") + SHRINK) / bits)
-    scored = found.join(means, "lang", "left").withColumn("score", score).withColumn("excess", F.col("score") - mean / bits)
+    scored = found.join(_few(means), "lang", "left").withColumn("score", score).withColumn("excess", F.col("score") - mean / bits)
     kept = scored.filter("usable")
     at = lambda x: F.percentile_approx(x, quantile, 10000)
     limit = kept.agg(at("score").alias("score"), at(F.when(F.col("lang").isNotNull(), F.col("excess"))).alias("excess")).first()
     limits = kept.filter("lang is not null").groupBy("lang").agg(at("excess").alias("own_excess"))
     excess = F.coalesce(towards(F.col("own_excess"), F.lit(limit["excess"]), pull), F.lit(limit["excess"]))
     threshold = F.when(F.col("lang").isNull(), F.lit(limit["score"])).otherwise(F.coalesce(mean / bits + excess, F.lit(limit["score"])))
-    limited = scored.join(limits, "lang", "left").withColumn("threshold", threshold)
-    return limited.select("doc_id", "lang", F.greatest("n", F.lit(0)).cast("long").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(F.col("nll") / (F.col("n") + 1))).alias("perplexity"), "score", "threshold", ((F.col("n") <= 0) | F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))).alias("rejected"))
+    limited = scored.join(_few(limits), "lang", "left").withColumn("threshold", threshold)
+    return limited.select("doc_id", "mark", "lang", F.greatest("n", F.lit(0)).cast("long").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(F.col("nll") / (F.col("n") + 1))).alias("perplexity"), "score", "threshold", ((F.col("n") <= 0) | F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))).alias("rejected"))
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
@@ -362,10 +371,11 @@ def trusted_of(labels: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    return judged(scores(docs, trusted_of(labels)), quantile)
+    """Scores and decisions for all rows of docs: doc_id, lang, n_symbols, perplexity, score, threshold, rejected."""
+    return judged(scores(docs, trusted_of(labels)), quantile).drop("mark")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """docs without rejected rows. Rows that repeat their id go if one of them is rejected."""
-    gone = stored(classify(docs, labels, quantile).filter("rejected").select(F.col("doc_id").alias("__id")).distinct(), "rejected")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """docs without rejected rows. Rows that repeat id and text go if one of them is rejected."""
+    found = judged(scores(docs, trusted_of(labels)), quantile)
+    return dropped(docs, found.filter("rejected").select("doc_id", "mark"))

@@ -39,6 +39,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of the rows that are not held out. Texts that are null or have no letter are `und`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.filter(~language_id.held_out()))
     found = language_id.predict(docs, model)
@@ -53,6 +54,7 @@ def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings, made to logs of deltas, edits and regenerations, folded, rendered and read back. Null texts and roles are empty."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -60,26 +62,32 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the largest id of its text. Null texts are empty ones; a null id stays only where there is no other."""
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies. Texts without words, null ones too, are classes of their own."""
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its perplexity and threshold. Null texts and those without words are rejected."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document. Null and empty texts have none."""
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold. Null and empty texts hold none."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

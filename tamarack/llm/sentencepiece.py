@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import require, text_of, trim
 
 MARK = "▁"
+#: Begins the names of pieces that no text spells, and what stands for it where a text has it: neither is in a vocabulary.
+HIDDEN, SHOWN = "\uf8ff", "\uf8fe"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct parts whose ids a worker remembers between batches; beyond that it starts anew.
@@ -130,16 +132,41 @@ class Encoder:
         if m.kind == BPE:
             own = models.BPE(vocab={p: i for i, p in enumerate(vocab)}, merges=merges_of(m.pieces), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback)
         else:
-            own = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk_id, byte_fallback=m.byte_fallback)
+            # Text spells normal and user pieces only. The others keep their ids under names with a character that is
+            # taken out of texts before; bytes are put in for what is unknown. User pieces win, by their length.
+            best = max((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+            least = min((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+            own = models.Unigram([self._spelled(i, *piece, best, least) for i, piece in enumerate(m.pieces)], unk_id=m.unk_id, byte_fallback=False)
         self.tokenizer = Tokenizer(own)
         self.cuttable = not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
         self.parts = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
         bytes_of = []
         for p, _, kind in m.pieces:
             bytes_of.append(bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.encode())
         self.piece_bytes = np.array(bytes_of, dtype=object)
         self._forget()
 
+    @staticmethod
+    def _spelled(i: int, piece: str, score: float, kind: int, best: float, least: float) -> tuple[str, float]:
+        if kind == NORMAL:
+            return piece, score
+        if kind == USER:
+            return piece, len(piece.encode()) * best - 0.1
+        return f"{HIDDEN}{i}", least
+
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts, without those that were met before."""
+        m = self.model
+        shown = [p.replace(HIDDEN, SHOWN) for p in parts] if m.kind == UNIGRAM else parts
+        out = [e.ids for e in self.tokenizer.encode_batch_fast(shown, add_special_tokens=False)]
+        if m.kind == UNIGRAM and m.byte_fallback:
+            for i, ids in enumerate(out):
+                if m.unk_id in ids:
+                    e = self.tokenizer.encode(shown[i], add_special_tokens=False)
+                    out[i] = [x for k, (a, b) in zip(e.ids, e.offsets, strict=True) for x in ([self.byte_ids[c] for c in parts[i][a:b].encode("utf-8", "surrogatepass")] if k == m.unk_id else [k])]
+        return out
+
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -165,7 +192,7 @@ class Encoder:
         known, number = len(self.number), self.number
         order = np.fromiter((number.setdefault(p, len(number)) for parts in cut for p in parts), np.int64)
         if len(number) > known:
-            new = [e.ids for e in self.tokenizer.encode_batch_fast(list(islice(number, known, None)), add_special_tokens=False)]
+            new = self._ids(list(islice(number, known, None)))
             self.ids = np.concatenate([self.ids, *(np.array(x, np.int32) for x in new)])
             self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in new], np.int64)])
         ids, size = self.ids, self.sizes
@@ -236,7 +263,7 @@ def encode(docs: DataFrame, model: bytes, parity: bool = False) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, ids) to (doc_id, text)."""
+    """(doc_id, ids) to (doc_id, text); null ids are none."""
     require(encoded, "doc_id", "ids")
     known = encoded.sparkSession.sparkContext.broadcast(model)
 

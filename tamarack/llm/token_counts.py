@@ -1,10 +1,10 @@
 """Token counts by source, language and tokenizer version, kept by deltas.
 
 A rollup is a folder. A batch of changes is reduced to one signed row for each group (inserts add, deletes
-subtract, revisions add the difference, and move between groups if the group changes), written under the batch's name,
-and becomes valid when its commit marker is created, which either succeeds once or fails. A batch whose marker exists
-is not applied again; one that broke off before is overwritten when it is repeated. Totals are sums of the last base and
-the committed batches after it; compaction makes a new base and lists the batches that it holds.
+subtract, revisions add the difference, and move between groups if the group changes), written to a folder of its own,
+and becomes valid when its commit marker, which names the folder, is renamed into place. A batch whose marker exists
+is not applied again; a folder that no marker names, of a call that broke off or lost to another writer, is never read. Totals are sums of the last base and
+the committed batches after it; compaction makes a new base and lists the batches that it holds, again by a marker that is there whole or not at all.
 
 Groups are reduced in each task before rows move, so a source with a third of all rows is no heavier than others.
 Counting: a null or empty text has no tokens; texts are counted whole. A null source or language is a group of its own. Groups
@@ -14,7 +14,7 @@ whose documents are all gone are left out of totals. An empty batch is a valid b
 from __future__ import annotations
 
 import base64
-import contextlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, path_exists, require, text_of
+from .common import Markers, create_once, delete_path, names_in, path_exists, read_small, require, text_of
 
 GROUP = ["source", "lang", "version"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
@@ -74,59 +74,55 @@ def signed(changes: DataFrame) -> DataFrame:
 class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _names(self, folder: str) -> list[str]:
-        fs, p = self._fs()
-        if not fs.exists(p(f"{self.path}/{folder}")):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(p(f"{self.path}/{folder}")))
-
-    def _mark(self, name: str, text: str = "") -> bool:
-        """Creates a file; False if it is there already."""
-        fs, p = self._fs()
-        if fs.exists(p(f"{self.path}/{name}")):
-            return False
-        out = fs.create(p(f"{self.path}/{name}"), False)
-        with contextlib.closing(out):
-            out.write(bytearray(text.encode()))
-        return True
+        self.log = Markers(spark, f"{self.path}/generations")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Applies a batch of changes; False if it had been applied before."""
+        """Applies a batch of changes; False if it had been applied before, or another writer of it was first."""
         if not batch or "/" in batch or batch.startswith(("_", ".")):
             raise ValueError("a batch's name is a file name")
         if path_exists(self.spark, f"{self.path}/commits/{batch}"):
             return False
         sums = signed(changes).groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS))
-        sums.write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        return self._mark(f"commits/{batch}")
-
-    def _base(self) -> tuple[int, set[str]]:
-        """The last complete base and the batches in it; number 0 if there is none."""
-        ready = [int(n.removesuffix(".ready")) for n in self._names("bases") if n.endswith(".ready")]
-        if not ready:
-            return 0, set()
-        rows = self.spark.read.text(f"{self.path}/bases/{max(ready)}.ready").collect()
-        return max(ready), {r["value"] for r in rows if r["value"]}
-
-    def totals(self) -> DataFrame:
-        base, held = self._base()
-        parts = [f"{self.path}/deltas/{b}" for b in self._names("commits") if b not in held] + ([f"{self.path}/bases/{base}"] if base else [])
+        folder = f"{batch}-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/deltas/{folder}")
+        if create_once(self.spark, f"{self.path}/commits/{batch}", folder):
+            return True
+        delete_path(self.spark, f"{self.path}/deltas/{folder}")
+        return False
+
+    def _state(self) -> tuple[int, str, str, set[str], dict[str, str]]:
+        """The last base (0: none), its folder, the folder of the base before it, the batches in it, and the folders of the batches after it."""
+        number, text = self.log.last()
+        folder, before, *held = text.split("\n") if number else ("", "")
+        batches = [b for b in names_in(self.spark, f"{self.path}/commits") if not b.startswith(".")]
+        return number, folder, before, set(held), {b: read_small(self.spark, f"{self.path}/commits/{b}") for b in batches if b not in set(held)}
+
+    def _sums(self, folder: str, deltas: dict[str, str]) -> DataFrame:
+        parts = [f"{self.path}/deltas/{d}" for d in deltas.values()] + ([f"{self.path}/bases/{folder}"] if folder else [])
         rows = self.spark.read.schema(_SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], _SCHEMA)
         return rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).filter("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
+    def totals(self) -> DataFrame:
+        _, folder, _, _, deltas = self._state()
+        return self._sums(folder, deltas)
+
     def compact(self) -> None:
-        base, held = self._base()
-        batches = self._names("commits")
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/bases/{base + 1}")
-        self._mark(f"bases/{base + 1}.ready", "\n".join(batches))
-        for b in set(batches) - held:
-            delete_path(self.spark, f"{self.path}/deltas/{b}")
+        """A new base of the last one and what was committed after it, as of one look at the folder.
+
+        What the last base held is deleted only now, so readers that began before this call keep their files.
+        """
+        number, folder, before, held, deltas = self._state()
+        if not deltas:
+            return
+        new = f"{number + 1}-{uuid.uuid4().hex}"
+        self._sums(folder, deltas).write.parquet(f"{self.path}/bases/{new}")
+        if not self.log.add(number + 1, "\n".join([new, folder, *sorted(held | set(deltas))])):
+            return delete_path(self.spark, f"{self.path}/bases/{new}")
+        if before:
+            delete_path(self.spark, f"{self.path}/bases/{before}")
+        for name in names_in(self.spark, f"{self.path}/deltas"):
+            if name.rpartition("-")[0] in held:
+                delete_path(self.spark, f"{self.path}/deltas/{name}")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
