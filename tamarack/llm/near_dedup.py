@@ -272,8 +272,8 @@ def fine_bands(features: DataFrame) -> DataFrame:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Rows with `bands` to a row (with bucket, and n, its members) for each bucket that two or more share, stored."""
-    each = rows.withColumn("bucket", F.explode("bands"))
+    """Rows (same, weight, bands) to (bucket, same, weight, n) for each bucket that two or more share, stored; n: its members."""
+    each = rows.select("same", "weight", F.explode("bands").alias("bucket"))
     sizes = rows.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return stored(each.join(sizes, "bucket"), "buckets")
 
@@ -289,12 +289,15 @@ def _merged(pairs: DataFrame, labels: DataFrame, features: DataFrame, threshold:
     return stored(labels.join(moved, "root", "left").select("same", F.coalesce("next", "root").alias("root")), "labels")
 
 
-def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold: float, whole: bool) -> tuple[DataFrame, DataFrame | None]:
-    """labels after the links in buckets (bucket, n, same, weight), and the members of crowded buckets; none if all pairs are compared (whole, for which buckets have bands)."""
+def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold: float, bands: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """labels after the links in buckets (bucket, n, same, weight), and the members of crowded buckets.
+
+    With bands (same, bands) of the members, all pairs that are left are compared, and no bucket is crowded.
+    """
     close = F.least("weight", "a_weight") >= threshold * F.greatest("weight", "a_weight") - 1e-9
-    bands = ["bands"] if whole else []
+    whole = bands is not None
     central = buckets.groupBy("same").agg(F.sum("n").alias("central"))
-    known = stored(buckets.select("bucket", "same", "weight", *bands).join(central.join(labels, "same"), "same"), "members")
+    known = stored(buckets.select("bucket", "same", "weight").join(central.join(labels, "same"), "same"), "members")
     # The leader is the member with the most candidates; ties go by hash.
     first = F.max(F.struct("central", F.xxhash64("same").alias("h"), "same", "root", "weight")).alias("l")
     leaders = known.groupBy("bucket").agg(first).select("bucket", F.col("l.same").alias("a"), F.col("l.root").alias("a_root"), F.col("l.weight").alias("a_weight"))
@@ -302,7 +305,7 @@ def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold
     labels = _merged(led.select("a", F.col("same").alias("b"), "a_root", F.col("root").alias("b_root")), labels, features, threshold)
 
     # Leaders have met all others of their buckets.
-    left = known.select("bucket", "same", "weight", *bands).join(leaders.select("bucket", F.col("a").alias("same")), ["bucket", "same"], "left_anti").join(labels, "same")
+    left = known.select("bucket", "same", "weight").join(leaders.select("bucket", F.col("a").alias("same")), ["bucket", "same"], "left_anti").join(labels, "same")
     left = stored(left, "members")
     roots = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     sizes = roots.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
@@ -311,7 +314,9 @@ def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold
     if open_.isEmpty():
         return labels, None
     met = left.join(open_.filter("few"), "bucket")
-    minor = met.filter(F.col("root") != F.col("top")).select("bucket", F.col("same").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight"), *(F.col(c).alias("a_bands") for c in bands))
+    if whole:
+        met = stored(met.join(bands, "same"), "met")
+    minor = met.filter(F.col("root") != F.col("top")).select("bucket", F.col("same").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight"), *([F.col("bands").alias("a_bands")] if whole else []))
     # Of two members outside the largest component the smaller asks.
     once = (F.col("root") == F.col("top")) | (F.col("a") < F.col("same"))
     if whole:
@@ -336,10 +341,10 @@ def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOL
     few = passing(sketches.filter("same is not null").withColumn("chosen", chosen("doc_id")), "chosen", bloom_of(candidates.select(chosen("rep")), n)).drop("chosen")
     features = few.join(candidates.select(F.col("same").alias("_same"), "rep"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     features = stored(features.select("same", "weight", "shingles", "tf", "df", "n_docs").dropDuplicates(["same"]), "features")
-    labels, crowded = settle(buckets, candidates.select("same", F.col("same").alias("root")), features, threshold, whole=False)
+    labels, crowded = settle(buckets, candidates.select("same", F.col("same").alias("root")), features, threshold)
     if crowded is not None and not crowded.isEmpty():
         fine = stored(fine_bands(features.join(crowded, "same", "left_semi")), "fine")
-        labels, _ = settle(shared_buckets(fine), labels, features, threshold, whole=True)
+        labels, _ = settle(shared_buckets(fine), labels, features, threshold, fine.select("same", "bands"))
     return labels
 
 
