@@ -202,3 +202,17 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Bytes that small groups handle between two returns of freed memory.
+_TRIM_BYTES = 64 << 20
+_handled = 0
+
+
+def trim_after(n_bytes: int) -> None:
+    """trim(), once so many bytes have been handled since the last time: for groups so small that each would spend its time on it."""
+    global _handled
+    _handled += n_bytes
+    if _handled > _TRIM_BYTES:
+        _handled = 0
+        trim()

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
-from .common import block_count, block_of, dropped, mark_of, require, require_ids, stored, text_of, trimmed
+from .common import block_count, block_of, dropped, mark_of, require, require_ids, stored, text_of, trim_after, trimmed
 from .pack import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from .words import mix, shingle_hashes
 
@@ -50,6 +50,8 @@ SMALL, MINOR = 64, 32
 BLOCK_BYTES = 4 << 20
 #: Pairs of one leader that one group verifies on average.
 GROUP_PAIRS = 128
+#: Packed shingles that are unpacked at a time.
+PART_BYTES = 1 << 20
 _CHUNK = 1 << 16
 
 
@@ -235,6 +237,15 @@ def features_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), weights(tf, df, table.column("n_docs")[0].as_py()), start
 
 
+def slices(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows of a table in parts of about PART_BYTES of packed shingles, so that arrays stay small."""
+    ends, lo = np.cumsum([len(x) for x in table.column("shingles").to_pylist()]), 0
+    while lo < table.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART_BYTES, "right")))
+        yield table.slice(lo, hi - lo)
+        lo = hi
+
+
 def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b) of entities those that are similar enough. A leader with many pairs is dealt over several groups."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_PAIRS).cast("int").alias("salts"))
@@ -248,11 +259,14 @@ def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
         if not (left.num_rows and right.num_rows):
             return left.select(["a", "b"]).slice(0, 0)
         own, weight, _ = features_of(right)
-        keys, w, start = features_of(left)
-        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        both = np.add.reduceat(np.where(own[at] == keys, np.minimum(weight[at], w), 0), start)
-        similar = both >= (threshold - 1e-9) * (weight.sum() + np.add.reduceat(w, start) - both)
-        return left.select(["a", "b"]).filter(pa.array(similar))
+        similar = []
+        for part in slices(left):
+            keys, w, start = features_of(part)
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            both = np.add.reduceat(np.where(own[at] == keys, np.minimum(weight[at], w), 0), start)
+            similar.append(both >= (threshold - 1e-9) * (weight.sum() + np.add.reduceat(w, start) - both))
+        trim_after(left.nbytes)
+        return left.select(["a", "b"]).filter(pa.array(np.concatenate(similar)))
 
     return left.groupBy("a", "salt").cogroup(right.groupBy("a", "salt")).applyInArrow(run, "a binary, b binary")
 
@@ -262,10 +276,11 @@ def fine_bands(features: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys, w, start = features_of(pa.Table.from_batches([batch]))
+            for part in slices(pa.Table.from_batches([batch])):
+                keys, w, start = features_of(part)
                 bands = bands_of(sample(keys, np.log(w).astype(np.float32), start, FINE_SAMPLES), _fine_bands())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands.tolist(), pa.list_(pa.int64()))], ["same", "weight", "bands"])
+                yield from pa.table([part.column(0), part.column(1), pa.array(bands.tolist(), pa.list_(pa.int64()))], ["same", "weight", "bands"]).to_batches()
+            trim_after(batch.nbytes)
 
     own = features.select("same", "weight", "shingles", "tf", "df", "n_docs")
     return own.mapInArrow(run, "same binary, weight double, bands array<long>")
