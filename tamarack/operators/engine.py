@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import CompileError, ConditionError, EngineError, ParseError
 from ..functions.fields import FieldMapping
-from ..functions.sqltext import all_of, any_of, sql_str
+from ..functions.sqltext import all_of, any_of, sql_name, sql_str
 from ..plans.condition import Node, compile_condition, names_in
 from ..functions.linear import search
 from ..plans.emit import LINEAR_MATCH, Columns, Layout, MapEvents, condition_sql, identifier_sql, logsource_sql, needs_linear, test_sql
@@ -111,11 +111,20 @@ def prepare(spark: SparkSession, rules: RuleSet) -> None:
 
 
 def layout_of(events: DataFrame, rules: RuleSet, key: str) -> Layout:
-    """Events with a map of arrays in `fields` are in the map layout; of others all columns but the key are fields."""
+    """Events with a map of arrays in `fields` are in the map layout; of others all columns are fields, the key too for tests that name it."""
     kind = next((f.dataType for f in events.schema if f.name == FIELDS), None)
     if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.ArrayType):
         return MapEvents(FIELDS, rules.mapping)
-    return Columns([f.name for f in events.schema if f.name != key and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))], rules.mapping, {})
+    names = [f.name for f in events.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+    return Columns([n for n in names if n != key], rules.mapping, {}, [n for n in names if n == key])
+
+
+def _free(events: DataFrame, name: str) -> str:
+    """A name that no column of events has, so that working columns hide no field."""
+    taken = {c.lower() for c in events.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _rule_sql(compiled: Compiled, layout: Layout) -> list[str]:
@@ -141,21 +150,23 @@ def _hits(rules: RuleSet, layout: Layout) -> list[str]:
 
 
 def matched(events: DataFrame, rules: RuleSet, key: str = "event_id") -> DataFrame:
-    """events with `hits`: the places of the rules that hold, ascending."""
-    layout = layout_of(events, rules, key)
-    return _matched(events, rules, layout, _hits(rules, layout)).drop(*(layout.linear or {}).values())
+    """events with `hits`: the places of the rules that hold, ascending. A field of that name is tested before the column takes its place."""
+    found, name = _matched(events, rules, layout := layout_of(events, rules, key), _hits(rules, layout))
+    found = found.drop(*(layout.linear or {}).values())
+    return found if name == "hits" else found.withColumn("hits", F.col(name)).drop(name)
 
 
-def _matched(events: DataFrame, rules: RuleSet, layout: Layout, parts: list[str]) -> DataFrame:
-    """Results of automata stay as columns, as details may need them."""
+def _matched(events: DataFrame, rules: RuleSet, layout: Layout, parts: list[str]) -> tuple[DataFrame, str]:
+    """events with the places of rules that hold, and the name of that column. Results of automata stay as columns, as details may need them."""
     prepare(events.sparkSession, rules)
+    name = _free(events, "hits")
     if layout.linear:
         events = events.selectExpr("*", *(f"{sql} AS {name}" for sql, name in layout.linear.items()))
     if not parts:
-        return events.withColumn("hits", F.array().cast("array<int>"))
-    columns = [f"__hits{i}" for i in range(len(parts))]
-    wide = events.selectExpr("*", *(f"{p} AS {c}" for p, c in zip(parts, columns, strict=True)))
-    return wide.withColumn("hits", F.array_sort(F.concat(*columns))).drop(*columns)
+        return events.withColumn(name, F.array().cast("array<int>")), name
+    columns = [_free(events, f"__hits{i}") for i in range(len(parts))]
+    wide = events.selectExpr("*", *(f"{p} AS {sql_name(c)}" for p, c in zip(parts, columns, strict=True)))
+    return wide.withColumn(name, F.array_sort(F.concat(*(F.col(sql_name(c)) for c in columns)))).drop(*columns), name
 
 
 def _details(compiled: Compiled, layout: Layout) -> str:
@@ -178,40 +189,68 @@ def _implied(node: Node) -> set[str]:
     return set()
 
 
+def _details_of(rules: RuleSet, layout: Layout, place: str) -> str:
+    """SQL of the details of the rule whose place is given, by a branch for each rule."""
+    details = "CAST(NULL AS STRUCT<conditions: ARRAY<INT>, identifiers: ARRAY<STRING>>)"
+    for at in reversed(range(0, rules.rule_count, CHUNK)):
+        whens = [f"WHEN {i} THEN {_details(c, layout)}" for i, c in enumerate(rules.compiled[at : at + CHUNK], at) if c.nodes]
+        if whens:
+            part = f"CASE {place} {' '.join(whens)} END"
+            details = part if rules.rule_count <= CHUNK else f"CASE WHEN {place} >= {at} AND {place} < {at + CHUNK} THEN {part} ELSE {details} END"
+    return details
+
+
+def _alert(rules: RuleSet, place: str, details: str) -> list[tuple[str, str]]:
+    """Names and SQL of ALERT's columns. The rules' metadata are constant arrays, as large as what the driver holds."""
+    own = [c.rule for c in rules.compiled]
+    text = lambda x: "CAST(NULL AS STRING)" if x is None else sql_str(x)
+    array = lambda values, kind: f"CAST(array({', '.join(values)}) AS ARRAY<{kind}>)"
+    of = lambda values, kind: f"get({array(values, kind)}, {place})"
+    return [
+        ("rule_idx", place),
+        ("rule_id", of([text(r.id) for r in own], "STRING")),
+        ("rule_title", of([text(r.title) for r in own], "STRING")),
+        ("rule_level", of([text(r.level) for r in own], "STRING")),
+        ("matched_conditions", f"{details}.conditions"),
+        ("matched_identifiers", f"{details}.identifiers"),
+        ("tags", of([array(map(text, r.tags), "STRING") for r in own], "ARRAY<STRING>")),
+        ("score", of(["CAST(NULL AS DOUBLE)" if r.score is None else f"{float(r.score)!r}D" for r in own], "DOUBLE")),
+    ]
+
+
 def detect(events: DataFrame, rules: RuleSet, key: str = "event_id", keep: list[str] | None = None) -> DataFrame:
     """Alerts: the key, ALERT's columns, and the columns named in keep. One row for each event and rule that holds."""
     layout = layout_of(events, rules, key)
-    spark, parts = events.sparkSession, _hits(rules, layout)
+    found, hits = _matched(events, rules, layout, _hits(rules, layout))
+    place, details = _free(found, "place"), _free(found, "details")
+    found = found.filter(F.size(F.col(sql_name(hits))) > 0).withColumn(place, F.explode(F.col(sql_name(hits))))
+    kept = list(dict.fromkeys([key, *(keep or [])]))
     # Details are computed for hits only, each by its rule's branch.
-    details = "CAST(NULL AS STRUCT<conditions: ARRAY<INT>, identifiers: ARRAY<STRING>>)"
-    for at in reversed(range(0, rules.rule_count, CHUNK)):
-        whens = []
-        for i, c in enumerate(rules.compiled[at : at + CHUNK], at):
-            if c.nodes:
-                whens.append(f"WHEN {i} THEN {_details(c, layout)}")
-        if whens:
-            part = f"CASE rule_idx {' '.join(whens)} END"
-            details = part if rules.rule_count <= CHUNK else f"CASE WHEN rule_idx >= {at} AND rule_idx < {at + CHUNK} THEN {part} ELSE {details} END"
-    hits = _matched(events, rules, layout, parts).filter(F.size("hits") > 0).withColumn("rule_idx", F.explode("hits"))
-    found = hits.selectExpr(*dict.fromkeys([f"`{key}`", *(f"`{c}`" for c in keep or [])]), "rule_idx", f"{details} AS details")
-    # One row for each rule, which is bounded by the rules that the driver holds.
-    table = F.broadcast(rules.table(spark).select("rule_idx", "rule_id", "rule_title", "rule_level", "tags", "score"))
-    own = found.join(table, "rule_idx")
-    return own.select(key, "rule_idx", "rule_id", "rule_title", "rule_level", F.col("details.conditions").alias("matched_conditions"), F.col("details.identifiers").alias("matched_identifiers"), "tags", "score", *(c for c in keep or [] if c != key))
+    found = found.selectExpr(*map(sql_name, kept), sql_name(place), f"{_details_of(rules, layout, sql_name(place))} AS {sql_name(details)}")
+    alert = [f"{sql} AS {name}" for name, sql in _alert(rules, sql_name(place), sql_name(details))]
+    return found.selectExpr(sql_name(key), *alert, *(sql_name(c) for c in kept if c != key))
 
 
 def detect_count(events: DataFrame, rules: RuleSet, key: str = "event_id", per_event: bool = False) -> DataFrame:
     """The number of matches: one row, or one for each event. No alert is built."""
-    counted = matched(events, rules, key).select(key, F.size("hits").cast("long").alias("matches"))
+    layout = layout_of(events, rules, key)
+    found, hits = _matched(events, rules, layout, _hits(rules, layout))
+    counted = found.select(F.col(sql_name(key)), F.size(F.col(sql_name(hits))).cast("long").alias("matches"))
     return counted if per_event else counted.agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"))
 
 
 def detect_batch(events: DataFrame, rules: RuleSet, key: str = "event_id") -> DataFrame:
-    """A row for each event, also without matches: key, matches (array of alerts, by rule), rules_evaluated."""
-    columns = [c.split()[0] for c in ALERT.split(", ")]
-    alerts = detect(events, rules, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("matches"))
-    kind = alerts.schema["matches"].dataType.simpleString()
-    return events.select(key).join(alerts, key, "left").select(key, F.coalesce("matches", F.array().cast(kind)).alias("matches"), F.lit(rules.rule_count).alias("rules_evaluated"))
+    """A row for each event, also without matches: key, matches (array of alerts, by rule), rules_evaluated.
+
+    Events are told apart by their rows, not by the key, which may repeat or be null; nothing is shuffled.
+    """
+    layout = layout_of(events, rules, key)
+    found, hits = _matched(events, rules, layout, _hits(rules, layout))
+    # The inner function gives each hit its details, the outer one its alert.
+    details = f"transform({sql_name(hits)}, place_ -> named_struct('place', place_, 'details', {_details_of(rules, layout, 'place_')}))"
+    alert = ", ".join(f"'{name}', {sql}" for name, sql in _alert(rules, "one_.place", "one_.details"))
+    alerts = f"transform({details}, one_ -> named_struct({alert}))"
+    return found.selectExpr(sql_name(key), f"{alerts} AS matches", f"{rules.rule_count} AS rules_evaluated")
 
 
 def compile_test(test: Test, columns: list[str], mapping: FieldMapping | None = None) -> Column:

@@ -35,10 +35,12 @@ class Columns:
     mapping: FieldMapping
     #: Names of the columns that are to hold results of automata beforehand, by their SQL, as array functions cannot call Python.
     linear: dict[str, str] | None = None
+    #: Fields that only tests by name see, not those of all fields.
+    named: list[str] = field(default_factory=list)
 
     def _found(self, field: str) -> list[str]:
         keys = self.mapping.keys_of(field)
-        return [c for c in self.columns if c.lower() in keys]
+        return [c for c in (*self.columns, *self.named) if c.lower() in keys]
 
     def present(self, field: str) -> str:
         return any_of([f"{sql_name(c)} IS NOT NULL" for c in self._found(field)])

@@ -215,7 +215,7 @@ def _k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.ndjson(detect(_events(spark, sf_dir), event_rules()))
 
 
-@_add("s11_controlled_hits", None)
+@_add("s11_controlled_hits", "SELECT count(*) AS matches FROM range(12345) AS t(i) WHERE i % 10000 < 1000")
 def _s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = generator.controlled(spark, 12345, 1000)
     return detect_count(events, rule_set(rule("selection:\n  A4Hit: '1'", extra="logsource:\n  product: windows\n  category: process_creation\n")))
@@ -226,7 +226,7 @@ def synthetic_pack(n: int) -> RuleSet:
     rules = RuleSet()
     for i in range(n):
         rules.load_rule(rule(f"sel:\n  Image|endswith: '\\tool{i}.exe'\n  CommandLine|contains: ['-a{i}', 'zz{i}']\nfilter:\n  User: 'nobody{i}'", "sel and not filter", f"tool {i}", "logsource:\n  product: windows\n  category: process_creation\n"))
-    rules.load_rule(rule("sel:\n  Image|endswith: '\\whoami.exe'", "sel", "whoami", "logsource:\n  product: windows\n"))
+    rules.load_rule(rule("sel:\n  Image|endswith: '\\bitsadmin.exe'", "sel", "transfers", "logsource:\n  product: windows\n"))
     return rules
 
 

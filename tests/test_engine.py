@@ -1,5 +1,7 @@
+import json
 import random
 import time
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +14,7 @@ from tamarack.operators.engine import RuleSet, compile_rule, detect, detect_batc
 from tamarack.plans.rules import Rule
 from tamarack.queries import rule, rule_set, synthetic_pack
 from tamarack.sources import generator, sinks
-from tamarack.sources.events import from_maps, from_table
+from tamarack.sources.events import flatten_lines, from_maps, from_table, read_lines
 
 from .spec_matcher import rule_holds
 
@@ -158,7 +160,41 @@ def test_generator(spark):
     assert a == b and len(a[0]) == 18
     assert generator.expected_hits(12345, 1000) == 2000
     assert detect_count(generator.controlled(spark, 12345, 1000), rule_set(rule("s:\n  A4Hit: '1'", "s"))).first()["matches"] == 2000
-    assert '"EventData"' in generator.as_windows_records(generator.events(spark, 1)).first()["value"]
+    record = json.loads(generator.as_windows_records(generator.events(spark, 1)).first()["value"])
+    assert record["EventID"] == 1 and isinstance(record["ProcessId"], int) and all(not isinstance(v, (dict, list)) for v in record.values())
+    shares = Counter(r["IntegrityLevel"] for r in a)
+    assert set(shares) == set(generator.LEVELS)
+
+
+def test_a_data_set_and_its_twin(spark, tmp_path):
+    generator.write_json(generator.events(spark, 50), f"{tmp_path}/flat", f"{tmp_path}/twin")
+    flat, twin = (flatten_lines(read_lines(spark, f"{tmp_path}/{x}")) for x in ("flat", "twin"))
+    rules = rule_set(rule("s:\n  CommandLine|contains: transfer", "s"))
+    assert flat.filter("error is not null").isEmpty() and detect_count(flat, rules).first() == detect_count(twin, rules).first()
+
+
+def test_batches_with_repeated_keys(spark):
+    rows = [(1, "x", "a"), (1, "y", "b"), (None, "x", "c"), (2, "z", "d")]
+    df = spark.createDataFrame(rows, "event_id long, name string, other string")
+    found = detect_batch(df, rule_set(rule("s:\n  name: x", "s"), rule("s:\n  name: y", "s", "two", "tags: [t]\nlevel: high\n"))).collect()
+    assert sorted((str(r["event_id"]), [m["rule_idx"] for m in r["matches"]]) for r in found) == [("1", [0]), ("1", [1]), ("2", []), ("None", [0])]
+    one = next(r["matches"][0] for r in found if r["matches"] and r["matches"][0]["rule_idx"] == 1)
+    assert (one["rule_title"], one["rule_level"], one["tags"], one["matched_identifiers"], one["matched_conditions"]) == ("two", "high", ["t"], ["s"], [0])
+
+
+def test_fields_named_like_working_columns(spark):
+    names = ["hits", "rule_idx", "__hits0", "place", "details"]
+    df = spark.createDataFrame([(1, *names), (2, *("no" for _ in names))], "event_id long, " + ", ".join(f"{n} string" for n in names))
+    rules = rule_set(*(rule(f"a:\n  {n}: {n}\nb:\n  {n}: other", "a or b") for n in names))
+    found = detect(df, rules, keep=["hits"]).collect()
+    assert sorted((r["event_id"], r["rule_idx"], tuple(r["matched_identifiers"]), r["hits"]) for r in found) == [(1, i, ("a",), "hits") for i in range(5)]
+    assert [len(r["matches"]) for r in detect_batch(df, rules).orderBy("event_id").collect()] == [5, 0]
+
+
+def test_the_key_is_a_field_by_name(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "1")], "event_id long, name string")
+    assert hits(df, rule_set(rule("s:\n  event_id: 1", "s"))) == {(1, 0)}
+    assert hits(df, rule_set(rule("keywords:\n  - '1'", "keywords"))) == {(2, 0)}
 
 
 def test_reports(spark):
