@@ -25,7 +25,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ HIDDEN, SHOWN = "\uf8ff", "\uf8fe"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct parts whose ids a worker remembers between batches; beyond that it starts anew.
-KNOWN_PARTS = 1 << 15
+KNOWN_PARTS = 1 << 18
 
 
 @dataclass
@@ -121,6 +121,14 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(out)]
 
 
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer, models, normalizers
@@ -168,7 +176,7 @@ class Encoder:
         return out
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def normalised(self, text: str) -> str:
@@ -183,18 +191,30 @@ class Encoder:
             text = " " + text
         return text.replace(" ", MARK) if m.escape else text
 
+    def _cut(self, plain: str) -> list[str]:
+        """Keys of the parts of a normalised text: of a marker and a word the word, of any other part the part after a marker."""
+        if not plain:
+            return []
+        if not self.cuttable:
+            return [MARK + plain]
+        if plain.startswith(MARK) and MARK + MARK not in plain:
+            return plain.split(MARK)[1:]
+        return [MARK + p for p in self.parts.findall(plain)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's begin (with the end)."""
-        plain = [self.normalised(t) for t in texts]
-        cut = [self.parts.findall(t) if self.cuttable else [t] if t else [] for t in plain]
+        return self.encode_normalised([self.normalised(t) for t in texts])
+
+    def encode_normalised(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [self._cut(t) for t in plain]
         if len(self.number) > KNOWN_PARTS:
             self._forget()
         known, number = len(self.number), self.number
-        order = np.fromiter((number.setdefault(p, len(number)) for parts in cut for p in parts), np.int64)
+        order = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
         if len(number) > known:
-            new = self._ids(list(islice(number, known, None)))
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.int32) for x in new)])
-            self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in new], np.int64)])
+            new = self._ids([k[1:] if k.startswith(MARK) else MARK + k for k in islice(number, known, None)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.int32)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64)])
         ids, size = self.ids, self.sizes
         at = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         n = size[order]
@@ -209,8 +229,7 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
     def decoded(self, text: str) -> str:
-        """What decoding a text's ids has to give."""
-        text = self.normalised(text)
+        """What decoding the ids of a normalised text has to give."""
         if self.model.escape:
             text = text.replace(MARK, " ")
         return text[1:] if self.model.dummy_prefix else text
@@ -249,11 +268,12 @@ def encode(docs: DataFrame, model: bytes, parity: bool = False) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
-                ids, ends = own.encode(texts)
+                plain = [own.normalised(t) for t in texts]
+                ids, ends = own.encode_normalised(plain)
                 each = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 same = [other.encode(t) == x.tolist() for t, x in zip(texts, each, strict=True)] if other else [None] * len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in each]), pa.array([own.decode(x) == own.decoded(t) for t, x in zip(texts, each, strict=True)]), pa.array(same, pa.bool_())],
+                    [part.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in each]), pa.array([own.decode(x) == own.decoded(t) for t, x in zip(plain, each, strict=True)]), pa.array(same, pa.bool_())],
                     ["doc_id", "n_tokens", "ids", "ids_sha256", "round_trip", "parity"],
                 )
         trim()
