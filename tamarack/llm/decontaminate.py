@@ -10,7 +10,7 @@ many consecutive words of a document as an item has.
 2. SimHash. Of each window and each item a 64-bit fingerprint of its words: 16-bit lanes count the set bits.
 3. Multi-index. A fingerprint is cut into RADIUS + 1 blocks; two fingerprints within RADIUS agree in a block at
    least. Windows meet the items of their size that agree in a block and share one of their anchors, so that what a window meets does not grow with
-   the items; those within RADIUS go on. Of pairs at the threshold fewer than one in 1,000 differ in more bits.
+   the items; those within RADIUS go on. An estimate, not a measurement: of pairs at the threshold fewer than one in 1,000 differ in more bits.
 4. Verification. The weighted Jaccard similarity of the shingles, as multisets, where a shingle weighs as many as it has
    distinct words; THRESHOLD or more is reported.
 
