@@ -14,6 +14,7 @@ from ..functions.fields import FieldMapping
 from ..functions.sqltext import all_of, any_of, sql_name, sql_str
 from ..plans.condition import Node, compile_condition, names_in
 from ..functions.linear import search
+from ..plans.index import need_of, need_sql, parts_of
 from ..plans.emit import LINEAR_MATCH, Columns, Layout, MapEvents, condition_sql, identifier_sql, logsource_sql, needs_linear, test_sql
 from ..plans.rules import Identifier, LogSource, Rule, Test, parse_rule, split_documents
 
@@ -133,19 +134,42 @@ def _rule_sql(compiled: Compiled, layout: Layout) -> list[str]:
     return [condition_sql(n, identifiers) for n in compiled.nodes]
 
 
-def _hits(rules: RuleSet, layout: Layout) -> list[str]:
-    """SQL of arrays of the places of rules that hold, ascending inside each; the test of a log source stands once for its rules."""
+def _needs(rules: RuleSet) -> dict[int, tuple[str, frozenset[str]] | None]:
+    """Of each rule that can hold what an event must have for it; None where every event may do."""
+    return {i: need_of(c.rule.identifiers, c.nodes) for i, c in enumerate(rules.compiled) if c.nodes}
+
+
+def index_statistics(rules: RuleSet) -> dict[str, int]:
+    """How many rules there are, how many are behind tests of last parts, how many such tests, and how many different last parts."""
+    needs = {i: n for i, n in _needs(rules).items() if n}
+    tests = sum(len(parts_of({i: needs[i] for i in places if i in needs})) for places in _by_source(rules).values())
+    return {"rules": rules.rule_count, "indexed": len(needs), "tests": tests, "names": len({(f.lower(), n) for f, names in needs.values() for n in names})}
+
+
+def indexed_names(rules: RuleSet) -> list[str]:
+    """The last parts of paths without which indexed rules cannot hold, ascending."""
+    return sorted({n for need in _needs(rules).values() if need for n in need[1]})
+
+
+def _by_source(rules: RuleSet) -> dict[LogSource, list[int]]:
     groups: dict[LogSource, list[int]] = defaultdict(list)
     for i, c in enumerate(rules.compiled):
         if c.nodes:
             groups[c.rule.logsource].append(i)
-    out = []
-    for source, places in groups.items():
-        for at in range(0, len(places), CHUNK):
-            each = [f"IF({any_of(_rule_sql(rules.compiled[i], layout))}, {i}, NULL)" for i in places[at : at + CHUNK]]
-            array = f"array_compact(array({', '.join(each)}))"
-            where = logsource_sql(source, layout)
-            out.append(array if where == "true" else f"CASE WHEN {where} THEN {array} ELSE array() END")
+    return groups
+
+
+def _hits(rules: RuleSet, layout: Layout) -> list[str]:
+    """SQL of arrays of the places of rules that hold. The test of a log source stands once for its rules, and one of last parts for rules that need them."""
+    out, needs = [], _needs(rules)
+    for source, places in _by_source(rules).items():
+        where = logsource_sql(source, layout)
+        for need, own in parts_of({i: needs[i] for i in places}):
+            guard = all_of([x for x in (where, need_sql(*need, layout) if need else "true") if x != "true"])
+            for at in range(0, len(own), CHUNK):
+                each = [f"IF({any_of(_rule_sql(rules.compiled[i], layout))}, {i}, NULL)" for i in own[at : at + CHUNK]]
+                array = f"array_compact(array({', '.join(each)}))"
+                out.append(array if guard == "true" else f"CASE WHEN {guard} THEN {array} ELSE array() END")
     return out
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .operators import reports
 from .operators.engine import RuleSet, detect, detect_batch, detect_count
 from .sources import generator, sinks
-from .sources.events import accounting, flatten_lines, from_table, lines_of
+from .sources.events import ERRORS, accounting, error_samples, flatten_lines, from_table, lines_of
+from .sources.flatten import FlattenOptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,7 +211,9 @@ def _k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.text(detect(_events(spark, sf_dir), event_rules()))
 
 
-@_add("k1_ndjson", None)
+@_add("k1_ndjson", _HITS + """SELECT event_id, h.rule_idx, '{"matched_identifiers":["' || CASE WHEN h.rule_idx IN (0, 1) AND user_id >= 50 THEN 'sel","big' WHEN h.rule_idx = 3 THEN 'sel","few' ELSE 'sel' END
+|| '"],"rule_id":"' || rule_id || '","rule_level":"' || rule_level || '","rule_title":"' || rule_title || '","score":' || CAST(score AS VARCHAR) || ',"tags":[' || CASE WHEN tags = '' THEN '' ELSE '"' || replace(tags, ',', '","') || '"' END || ']}' AS value
+FROM h JOIN r ON h.rule_idx = r.rule_idx""")
 def _k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.ndjson(detect(_events(spark, sf_dir), event_rules()))
 
@@ -230,6 +233,78 @@ def synthetic_pack(n: int) -> RuleSet:
     return rules
 
 
-@_add("j1_rule_pack", None)
+def orders_as_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as starts of programs, of which the pack names three quarters."""
+    number = (F.col("o_orderkey") % 400).cast("string")
+    name = F.when(F.col("o_orderkey") % 400 == 350, "BITSADMIN.exe").otherwise(F.concat(F.lit("Tool"), number, F.lit(".exe")))
+    kind = F.col("o_custkey") % 4
+    line = F.when(kind == 0, F.concat(F.lit("run -A"), number)).when(kind == 1, F.concat(F.lit("run zz"), number)).otherwise(F.lit("run"))
+    own = {"Image": F.concat(F.lit("D:\\bin\\"), name), "CommandLine": line, "User": F.concat(F.lit("Nobody"), (F.col("o_orderkey") % 7).cast("string"))}
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.lit("process_creation").alias("category"), F.lit("windows").alias("product"), *(c.alias(n) for n, c in own.items()))
+
+
+@_add("j1_rule_pack", """WITH h AS (SELECT CASE WHEN o_orderkey % 400 = 350 THEN 300 ELSE o_orderkey % 400 END AS rule_idx FROM orders
+WHERE o_orderkey % 400 = 350 OR (o_orderkey % 400 < 300 AND o_custkey % 4 < 2 AND o_orderkey % 7 <> o_orderkey % 400))
+SELECT CAST(rule_idx AS INT) AS rule_idx, CASE WHEN rule_idx = 300 THEN 'transfers' ELSE 'tool ' || rule_idx END AS rule_title, count(*) AS n FROM h GROUP BY 1, 2""")
 def _j1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.per_rule(detect(generator.events(spark, 20000), synthetic_pack(300)))
+    return reports.per_rule(detect(orders_as_starts(spark, sf_dir), synthetic_pack(300))).drop("rule_id")
+
+
+_NESTED = "'{\"a\":{\"b\":' || (event_id % 97) || ',\"c\":\"x' || event_id || '\"},\"d\":[1.50,' || event_id || ',null],\"e\":[],\"f\":null,\"g\":true,\"h\":[{\"i\":' || event_id || '}],\"j\":[\"one\"],\"a.b\":0}'"
+
+
+@_add("f3_flatten_nested", """SELECT event_id, CAST(event_id % 97 AS VARCHAR) AS a_b, 'x' || event_id AS a_c, '1.5' AS d_0, CAST(event_id AS VARCHAR) AS d_1, '' AS d_2,
+'1.5' || chr(10) || event_id || chr(10) AS d, '' AS e, '' AS f, 'true' AS g, CAST(event_id AS VARCHAR) AS h_0_i, 'one' AS j, 11 AS n FROM events""")
+def _f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects, arrays, scalars, and a path that collides with a name."""
+    flat = flatten_lines(lines_of(_table(spark, sf_dir, "events").select("event_id", F.expr(_NESTED).alias("line")), "line"))
+    names = ("a.b", "a.c", "d.0", "d.1", "d.2", "d", "e", "f", "g", "h.0.i", "j")
+    return flat.select("event_id", *(F.col("event")[n].alias(n.replace(".", "_")) for n in names), F.size("event").alias("n"))
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three events one is nested too deeply and one has too many fields."""
+    n = F.col("event_id") % 3
+    line = F.when(n == 0, '{"a":{"b":{"c":{"d":1}}}}').when(n == 1, '{"a":1,"b":2,"c":3,"d":4,"e":5}').otherwise('{"a":{"b":{"c":1}},"d":[1,2]}')
+    return flatten_lines(lines_of(_table(spark, sf_dir, "events").select("event_id", line.alias("line")), "line"), FlattenOptions(max_depth=3, max_fields=4))
+
+
+@_add("f7_flatten_guards", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'flatten_depth' WHEN 1 THEN 'flatten_fields' END AS error, CASE WHEN event_id % 3 = 2 THEN 4 END AS n FROM events")
+def _f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir).select("event_id", "error", F.when(F.col("error").isNull(), F.size("event")).alias("n"))
+
+
+@_add("a4_invariant", "SELECT count(*) AS events_total, count(*) AS ok_and_failed, count(*) FILTER (WHERE event_id % 3 < 2) AS by_kind FROM events")
+def _a4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = accounting(_guarded(spark, sf_dir))
+    return row.select("events_total", (F.col("events_ok") + F.col("events_failed")).alias("ok_and_failed"), sum((F.col(k) for k in ERRORS), F.lit(0)).alias("by_kind"))
+
+
+@_add("o4_first_errors", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'flatten_depth' ELSE 'flatten_fields' END AS error FROM events WHERE event_id % 3 < 2 ORDER BY event_id LIMIT 5")
+def _o4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return error_samples(_guarded(spark, sf_dir), 5)
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Rules that three engines loaded: of the numbers of nations all, even ones, and those that 3 divides."""
+    numbers = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("rule_idx"))
+    return {"a": numbers, "b": numbers.filter("rule_idx % 2 = 0"), "c": numbers.filter("rule_idx % 3 = 0")}
+
+
+@_add("e3_common_rules", "SELECT CAST(n_nationkey AS INT) AS rule_idx FROM nation WHERE n_nationkey % 6 = 0")
+def _e3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.common_rules(_loaded(spark, sf_dir))
+
+
+@_add("a8_loaded_counts", "SELECT 'a' AS engine, count(*) AS n FROM nation UNION ALL SELECT 'b', count(*) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'c', count(*) FROM nation WHERE n_nationkey % 3 = 0")
+def _a8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.loaded_counts(_loaded(spark, sf_dir))
+
+
+@_add("j6_disagreements", "SELECT 1 AS rule_idx, count(*) AS n FROM events WHERE event_type = 'purchase' AND user_id < 50 HAVING count(*) > 0 UNION ALL SELECT 2, count(*) FROM events WHERE event_type = 'signup' AND user_id >= 50 HAVING count(*) > 0")
+def _j6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three engines, of which two each miss some events."""
+    a = detect(_events(spark, sf_dir), event_rules()).select("event_id", "rule_idx")
+    b = detect(_events(spark, sf_dir).filter("event_type <> 'purchase' or user_id >= 50"), event_rules()).select("event_id", "rule_idx")
+    c = detect(_events(spark, sf_dir).filter("event_type <> 'signup' or user_id < 50"), event_rules()).select("event_id", "rule_idx")
+    return reports.disagreements({"a": a, "b": b, "c": c})
