@@ -19,7 +19,8 @@ odd symbols don't condemn a short text. Means and thresholds are of the scores o
 drawn towards that of all as by MEAN_PULL documents. Its threshold is its mean and an excess over it, a quantile of
 its own documents' excesses drawn towards that of all documents' as by 1 / (1 - quantile) documents, of
 which one is beyond the quantile. So nothing switches at a number of documents. Rows without a language may be of any:
-their threshold is the quantile of all scores.
+their threshold is the quantile of all scores. Quantiles are counted in steps of 2**-20 bits and sums are of whole numbers or
+decimals, so results do not depend on the order in which parts of the data are merged.
 
 Defined results: a null text or one without words has a null perplexity and is rejected; without trusted documents nothing
 else is rejected. Rows that repeat are scored each. An empty table gives an empty result. Other columns do not matter.
@@ -31,7 +32,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import block_count, dropped, mark_of, release, require, require_ids, stored, text_of, trimmed
@@ -45,6 +46,8 @@ SHRINK = 60
 QUANTILE = 0.995
 FOLDS = 5
 MEAN_PULL = 1
+#: Steps to a bit in which quantiles are counted, and steps of which the first pass makes one, as a power of two.
+STEPS, COARSE_BITS = 1 << 20, 12
 #: Rows of a table by language that are broadcast at most.
 BROADCAST_LANGUAGES = 1 << 16
 
@@ -194,6 +197,11 @@ def _of_fold(values: list) -> Column:
     return F.element_at(table, (F.col("fold") * len(values[0]) + F.least("n", F.lit(len(values[0])))).cast("int"))
 
 
+def _lost(ds: list[list[float]]) -> Column:
+    """What all counts of a group lose by the discounts of its fold, from numbers of counts."""
+    return sum((F.count_if(F.least("n", F.lit(3)) == i + 1) * _of_fold([d[i] for d in ds]) for i in range(3)), F.lit(0.0))
+
+
 def log_probabilities(pieces: DataFrame) -> DataFrame:
     """(shard, fold, n_gram, log_p) for every distinct n-gram that a block needs of the model without a fold."""
     model = build(pieces)
@@ -210,12 +218,12 @@ def log_probabilities(pieces: DataFrame) -> DataFrame:
     d2 = _count_types(bigrams)
     unigrams = bigrams.groupBy("fold", d).agg(F.count(F.lit(1)).alias("n"))
     d1 = _count_types(unigrams)
-    sums = {r["fold"]: r for r in unigrams.groupBy("fold").agg(F.sum("n").alias("t"), F.sum(_of_fold(d1)).alias("l"), F.count(F.lit(1)).alias("v")).collect()}
+    sums = {r["fold"]: r for r in unigrams.groupBy("fold").agg(F.sum("n").alias("t"), _lost(d1).alias("l"), F.count(F.lit(1)).alias("v")).collect()}
     totals = [sums[k]["t"] if k in sums else 1 for k in range(FOLDS)]
     rests = [sums[k]["l"] / sums[k]["t"] / (sums[k]["v"] + 1) if k in sums else 1.0 for k in range(FOLDS)]
     # Both tables have at most 65,536 rows for each fold, one for each code unit.
     last = F.broadcast(unigrams.select("fold", "d", ((F.col("n") - _of_fold(d1)) / _of_fold(totals) + _of_fold(rests)).alias("p1")))
-    before = F.broadcast(bigrams.groupBy("fold", c).agg(F.sum("n").alias("t2"), F.sum(_of_fold(d2)).alias("l2")))
+    before = F.broadcast(bigrams.groupBy("fold", c).agg(F.sum("n").alias("t2"), _lost(d2).alias("l2")))
     pairs = bigrams.select("fold", "pair", (F.col("n") - _of_fold(d2)).alias("own2"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -342,25 +350,49 @@ def _few(by_language: DataFrame) -> DataFrame:
     return F.broadcast(by_language) if by_language.count() <= BROADCAST_LANGUAGES else by_language
 
 
+def quantiles(values: DataFrame, quantile: float) -> DataFrame:
+    """(kind, lang, at): of each group the smallest whole step that `quantile` of its values at least don't exceed; stored.
+
+    values: kind, lang, value, none null. The first pass counts values in coarse bins, the second those of the bin that holds the quantile
+    by steps. A group is a row for each of its bins, of which there are some thousands, whatever its values are as many.
+    """
+    steps = values.select("kind", "lang", F.ceil(F.col("value") * STEPS).alias("step")).withColumn("bin", F.shiftright("step", COARSE_BITS))
+    group = Window.partitionBy("kind", "lang")
+
+    def holding(counts: DataFrame, by: str, need: Column) -> DataFrame:
+        upto = F.sum("n").over(group.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.withColumn("upto", upto).withColumn("need", need).filter("upto >= need and upto - n < need")
+
+    coarse = steps.groupBy("kind", "lang", "bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = holding(coarse, "bin", F.greatest(F.lit(1), F.ceil(quantile * F.sum("n").over(group))))
+    bins = _few(bins.select("kind", "lang", "bin", (F.col("need") - F.col("upto") + F.col("n")).alias("rest")))
+    fine = steps.join(bins, ["kind", "lang", "bin"]).groupBy("kind", "lang", "step", "rest").agg(F.count(F.lit(1)).alias("n"))
+    return stored(holding(fine, "step", F.col("rest")).select("kind", "lang", (F.col("step") / STEPS).alias("at")), "quantiles")
+
+
 def judged(found: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, mark, lang, n_symbols, perplexity, score (bits per symbol, shrunk), threshold, rejected."""
     bits = F.log(F.lit(2.0))
     found = found.select("doc_id", "mark", "lang", "n", F.coalesce("out_nll", "nll").alias("nll"), (F.col("out_nll").isNotNull() & (F.col("n") > 0)).alias("usable"))
-    whole = found.filter("usable").agg((F.sum("nll") / F.sum("n")).alias("m")).first()["m"]
+    average = F.sum(F.col("nll").cast("decimal(28,6)")).cast("double") / F.sum("n")
+    whole = found.filter("usable").agg(average.alias("m")).first()["m"]
     pull = 1 / max(1 - quantile, 1e-9)
     towards = lambda own, pooled, by: (F.col("n_docs") * own + by * pooled) / (F.col("n_docs") + by)
-    means = found.filter("usable and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("nll") / F.sum("n")).alias("own"))
+    means = found.filter("usable and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), average.alias("own"))
     means = means.select("lang", "n_docs", towards(F.col("own"), F.lit(whole), MEAN_PULL).alias("own_mean"))
     # One row for each language; rows without a language meet none.
     mean = F.coalesce("own_mean", F.lit(whole))
     score = F.when(F.col("n") > 0, (F.col("nll") + SHRINK * F.coalesce(mean, F.col("nll") / F.col("n"))) / (F.col("n") + SHRINK) / bits)
     scored = found.join(_few(means), "lang", "left").withColumn("score", score).withColumn("excess", F.col("score") - mean / bits)
-    kept = scored.filter("usable")
-    at = lambda x: F.percentile_approx(x, quantile, 10000)
-    limit = kept.agg(at("score").alias("score"), at(F.when(F.col("lang").isNotNull(), F.col("excess"))).alias("excess")).first()
-    limits = kept.filter("lang is not null").groupBy("lang").agg(at("excess").alias("own_excess"))
-    excess = F.coalesce(towards(F.col("own_excess"), F.lit(limit["excess"]), pull), F.lit(limit["excess"]))
-    threshold = F.when(F.col("lang").isNull(), F.lit(limit["score"])).otherwise(F.coalesce(mean / bits + excess, F.lit(limit["score"])))
+    kept, value = scored.filter("usable"), lambda kind, lang, x: F.struct(F.lit(kind).alias("kind"), lang.alias("lang"), x.alias("value"))
+    own = F.when(F.col("lang").isNotNull(), F.col("excess"))
+    values = kept.select(F.inline(F.array(value("score", F.lit(""), F.col("score")), value("excess", F.lit(""), own), value("own", F.coalesce("lang", F.lit("")), own))))
+    found = quantiles(values.filter("value is not null"), quantile)
+    limit = {r["kind"]: r["at"] for r in found.filter("kind <> 'own'").collect()}
+    limit = {kind: F.lit(limit.get(kind)).cast("double") for kind in ("score", "excess")}
+    limits = found.filter("kind = 'own'").select("lang", F.col("at").alias("own_excess"))
+    excess = F.coalesce(towards(F.col("own_excess"), limit["excess"], pull), limit["excess"])
+    threshold = F.when(F.col("lang").isNull(), limit["score"]).otherwise(F.coalesce(mean / bits + excess, limit["score"]))
     limited = scored.join(_few(limits), "lang", "left").withColumn("threshold", threshold)
     return limited.select("doc_id", "mark", "lang", F.greatest("n", F.lit(0)).cast("long").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(F.col("nll") / (F.col("n") + 1))).alias("perplexity"), "score", "threshold", ((F.col("n") <= 0) | F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))).alias("rejected"))
 

@@ -593,6 +593,27 @@ def test_thresholds_do_not_jump_with_the_number_of_documents(spark):
     assert few["en"] < 1.7 / math.log(2) and few["es"] > 2.5 / math.log(2)
 
 
+def test_thresholds_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(8)
+    nll = 300 * np.concatenate([rng.gamma(9, 0.2, 30000), rng.normal(2, 0.3, 700), rng.normal(3, 0.3, 300)])
+    langs = ["en"] * 30000 + ["es"] * 700 + [None] * 300
+    rows = [(k, k, lang, 300, float(x), float(x), False) for k, (lang, x) in enumerate(zip(langs, nll, strict=True))]
+    found = spark.createDataFrame(rows, "doc_id long, mark long, lang string, n long, nll double, out_nll double, calibrates boolean")
+    results = [quality.judged(found.repartition(n, F.rand(n))).orderBy("doc_id").collect() for n in (1, 5, 23)]
+    assert results[0] == results[1] == results[2]
+
+    # The same by hand.
+    bits, whole = math.log(2), nll.sum() / (300 * len(nll))
+    mean = {lang: (sum(lang == x for x in langs) * own + whole) / (sum(lang == x for x in langs) + 1) for lang in ("en", "es") for own in [np.mean([y for x, y in zip(langs, nll, strict=True) if x == lang]) / 300]}
+    score = [(y + quality.SHRINK * mean.get(x, whole)) / (300 + quality.SHRINK) / bits for x, y in zip(langs, nll, strict=True)]
+    excess = {lang: [s - mean[lang] / bits for s, x in zip(score, langs, strict=True) if x == lang] for lang in mean}
+    at = lambda v: sorted(v)[math.ceil(quality.QUANTILE * len(v)) - 1]
+    pooled = at(excess["en"] + excess["es"])
+    want = {lang: mean[lang] / bits + (len(e) * at(e) + 200 * pooled) / (len(e) + 200) for lang, e in excess.items()} | {None: at(score)}
+    for r in results[0]:
+        assert r["threshold"] == pytest.approx(want[r["lang"]], abs=1e-5)
+
+
 def test_quality_without_trust(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.trusted_of(labels).count() == 0
