@@ -182,10 +182,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of decisions that are broadcast at most: some tens of bytes each, about 100 MB once they are hashed.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table, broadcast if it has `most` rows at most, so that whole texts are not shuffled to meet a few rows; beyond, joined by shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def dropped(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose id and text's mark are a row of gone (doc_id, mark); a null id is an id."""
     a, b = fresh(docs, "gone_id"), fresh(docs, "gone_mark")
-    gone = stored(gone.toDF(a, b).distinct(), "gone")
+    gone = small(stored(gone.toDF(a, b).distinct(), "gone"))
     own = F.col("doc_id").cast(gone.schema[a].dataType)
     return docs.join(gone, own.eqNullSafe(F.col(a)) & (mark_of() == F.col(b)), "left_anti")
 
@@ -205,7 +214,7 @@ def trim() -> None:
 
 
 #: Bytes that small groups handle between two returns of freed memory.
-_TRIM_BYTES = 64 << 20
+_TRIM_BYTES = 16 << 20
 _handled = 0
 
 

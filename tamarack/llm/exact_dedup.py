@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Markers, delete_path, fresh, names_in, path_exists, require, require_ids, scratch_path, stored, text_of
+from .common import Markers, delete_path, fresh, names_in, path_exists, require, require_ids, scratch_path, small, stored, text_of
 
 #: Rows that a memtable holds before it is flushed, and digests that one shard holds on average.
 MEMTABLE_ROWS = 1 << 18
@@ -196,7 +196,7 @@ def deduplicated(docs: DataFrame, keep: str = "most") -> DataFrame:
     drop = gone.filter(~F.col("kept")).select(F.col("doc_id").alias(own), F.col("digest").alias(again), F.lit(False).alias(repeated))
     same = gone.filter(F.col("kept") & (F.col("group_size") > 1)).groupBy("doc_id", "digest").count().filter("count > 1")
     marks = stored(drop.unionByName(same.select(F.col("doc_id").alias(own), F.col("digest").alias(again), F.lit(True).alias(repeated))).distinct(), "drop")
-    tagged = docs.withColumn(digest_, digest_of(text_of())).join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(digest_) == F.col(again)), "left")
+    tagged = docs.withColumn(digest_, digest_of(text_of())).join(small(marks), F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(digest_) == F.col(again)), "left")
     once = tagged.filter(F.col(repeated).isNull())
     if marks.filter(repeated).isEmpty():
         return once.select(docs.columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_count, dropped, mark_of, release, require, require_ids, stored, text_of, trimmed
+from .common import block_count, dropped, mark_of, release, require, require_ids, small, stored, text_of, trimmed
 from .pack import pack_counts, pack_floats, pack_sorted, pack_text, unpack_counts, unpack_floats, unpack_sorted, unpack_text
 from .words import mix
 
@@ -345,9 +345,8 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def _few(by_language: DataFrame) -> DataFrame:
-    """A stored table of a row for each language, broadcast if those are few, as they are unless the column holds something else."""
-    by_language = stored(by_language, "languages")
-    return F.broadcast(by_language) if by_language.count() <= BROADCAST_LANGUAGES else by_language
+    """A table of a row for each language, stored, and broadcast if those are few, as they are unless the column holds something else."""
+    return small(stored(by_language, "languages"), BROADCAST_LANGUAGES)
 
 
 def quantiles(values: DataFrame, quantile: float) -> DataFrame:
