@@ -40,6 +40,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct parts whose ids a worker remembers between batches; beyond that it starts anew.
 KNOWN_PARTS = 1 << 18
+#: Parts that are encoded at a time: the library's results take about a kilobyte each until they are arrays.
+ENCODED_PARTS = 1 << 12
 
 
 @dataclass
@@ -212,9 +214,12 @@ class Encoder:
         known, number = len(self.number), self.number
         order = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
         if len(number) > known:
-            new = self._ids([k[1:] if k.startswith(MARK) else MARK + k for k in islice(number, known, None)])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.int32)])
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64)])
+            keys, new_ids, new_sizes = islice(number, known, None), [self.ids], [self.sizes]
+            while some := [k[1:] if k.startswith(MARK) else MARK + k for k in islice(keys, ENCODED_PARTS)]:
+                new = self._ids(some)
+                new_ids.append(np.fromiter(chain.from_iterable(new), np.int32))
+                new_sizes.append(np.fromiter(map(len, new), np.int64))
+            self.ids, self.sizes = np.concatenate(new_ids), np.concatenate(new_sizes)
         ids, size = self.ids, self.sizes
         at = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         n = size[order]
