@@ -1,7 +1,8 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the set of its shingles of five words (see `words`), each with weight tf * ln(1 + N / df), where df counts
-the documents, copies included, that hold the shingle. Two documents are linked if their weighted Jaccard similarity, the
+A document is the set of its shingles of five words (see `words`), each with weight tf * ln(1 + min(N / df, RARE)), where df counts
+the documents, copies included, that hold the shingle. Without the bound the shingles of a text would weigh the less against those of an
+edit the more copies it has and the larger the table is, and edited copies in large groups would not be linked. Two documents are linked if their weighted Jaccard similarity, the
 sum of minima over the sum of maxima, is THRESHOLD or more. Classes are the connected components of the links.
 
 1. Documents are dealt into blocks. Each block asks for the document frequencies of its distinct shingles, sorted
@@ -41,6 +42,8 @@ from .pack import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from .words import mix, shingle_hashes
 
 THRESHOLD = 0.8
+#: A shingle that one document in so many holds, or fewer, has the full weight: what copies share weighs as much as what an edit puts in.
+RARE = 200
 ROWS, BANDS = 3, 10
 #: Bands of members of crowded buckets. A pair of similarity 0.8 shares none with a probability of 0.0002.
 FINE_ROWS, FINE_BANDS, FINE_SAMPLES = 8, 48, 192
@@ -132,7 +135,7 @@ def _fine_bands() -> np.ndarray:
 
 
 def weights(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
-    return tf * np.log1p(n_docs / np.maximum(df, 1))
+    return tf * np.log1p(np.minimum(n_docs / np.maximum(df, 1), RARE))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -154,6 +154,19 @@ def test_near_dedup_of_a_large_group(spark):
     assert sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.classes(table(spark, rows)).collect()), key=str) == brute_near(rows)
 
 
+def test_near_copies_of_a_text_with_many_copies(spark):
+    """Edited copies of plain Jaccard 0.82 are linked, however many copies the text has and however large the table is."""
+    rng = np.random.default_rng(8)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    base = make(204)
+    end = lambda k: " ".join(base[: 204 - k] + make(k))
+    near = [(k, end(20), "en") for k in range(6)]
+    # Of 200 shingles 180 are the text's: two such copies are not linked with each other, but with the text.
+    rows = near + [(10 + k, " ".join(base), "en") for k in range(12)] + [(100 + k, " ".join(make(8)), "en") for k in range(3000)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table(spark, rows)).collect()}
+    assert {found[r[0]] for r in rows[:18]} == {0} and len(set(found.values())) == 3001
+
+
 def test_pairs_of_a_crowded_bucket(spark, monkeypatch):
     """Documents that share passages but are not near copies: compared pairs grow with the documents, not with their square."""
     monkeypatch.setattr(near_dedup, "SMALL", 8)
