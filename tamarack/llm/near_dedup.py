@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
-from .common import block_count, block_of, dropped, mark_of, require, require_ids, stored, text_of, trim_after, trimmed
+from .common import BROADCAST_ROWS, block_count, block_of, dropped, mark_of, require, require_ids, small, stored, text_of, trim_after, trimmed
 from .pack import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from .words import mix, shingle_hashes
 
@@ -250,12 +250,17 @@ def slices(table: pa.Table) -> Iterator[pa.Table]:
 
 
 def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of entities those that are similar enough. A leader with many pairs is dealt over several groups."""
+    """Of stored pairs (a, b) of entities those that are similar enough. A leader with many pairs is dealt over several groups.
+
+    Pairs are small and features are not: up to BROADCAST_ROWS pairs go to the features, beyond that both are shuffled.
+    """
+    sent = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda x: x
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_PAIRS).cast("int").alias("salts"))
     salted = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    left = salted.select("a", "salt", "b").join(features.withColumnRenamed("same", "b"), "b")
+    left = features.withColumnRenamed("same", "b").join(sent(salted.select("a", "salt", "b")), "b")
     again = features.toDF(*features.columns)
-    right = sizes.toDF("a", "salts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("a", "salt").join(again.withColumnRenamed("same", "a"), "a")
+    salts = sizes.toDF("a", "salts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("a", "salt")
+    right = again.withColumnRenamed("same", "a").join(sent(salts), "a")
     right = right.toDF(*right.columns)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -343,7 +348,7 @@ def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold
         once &= F.get(both, F.lit(0)) == F.col("bucket")
     rest = met.join(minor, "bucket").filter((F.col("root") != F.col("a_root")) & once & close)
     labels = _merged(rest.select("a", F.col("same").alias("b"), "a_root", F.col("root").alias("b_root")), labels, features, threshold)
-    crowded = None if whole else left.join(open_.filter("not few"), "bucket").select("same").distinct()
+    crowded = None if whole else stored(left.join(open_.filter("not few"), "bucket").select("same").distinct(), "crowded")
     return labels, crowded
 
 
@@ -357,11 +362,11 @@ def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOL
     # One row of each entity is read: the filter is of entity and id, so that copies are not shuffled.
     chosen = lambda i: F.unhex(F.md5(F.concat(F.hex("same").cast("binary"), F.coalesce(F.col(i).cast("string"), F.lit("")).cast("binary")))).alias("chosen")
     few = passing(sketches.filter("same is not null").withColumn("chosen", chosen("doc_id")), "chosen", bloom_of(candidates.select(chosen("rep")), n)).drop("chosen")
-    features = few.join(candidates.select(F.col("same").alias("_same"), "rep"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    features = few.join(small(candidates).select(F.col("same").alias("_same"), "rep"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     features = stored(features.select("same", "weight", "shingles", "tf", "df", "n_docs").dropDuplicates(["same"]), "features")
     labels, crowded = settle(buckets, candidates.select("same", F.col("same").alias("root")), features, threshold)
     if crowded is not None and not crowded.isEmpty():
-        fine = stored(fine_bands(features.join(crowded, "same", "left_semi")), "fine")
+        fine = stored(fine_bands(features.join(small(crowded), "same", "left_semi")), "fine")
         labels, _ = settle(shared_buckets(fine), labels, features, threshold, fine.select("same", "bands"))
     return labels
 
