@@ -155,7 +155,7 @@ def test_near_dedup_of_a_large_group(spark):
 
 
 def test_near_copies_of_a_text_with_many_copies(spark):
-    """Edited copies of plain Jaccard 0.82 are linked, however many copies the text has and however large the table is."""
+    """Edited copies of plain Jaccard 0.82 are linked with a text of twelve copies in a larger table."""
     rng = np.random.default_rng(8)
     make = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
     base = make(204)
