@@ -190,6 +190,31 @@ def test_pairs_of_a_crowded_bucket(spark, monkeypatch):
     assert counts[1] <= 3 * max(counts[0], 200) and counts[1] < 200 * 199 / 8
 
 
+def test_pairs_of_groups_just_under_the_threshold(spark, monkeypatch):
+    """Edited copies, none similar enough to another one, are not paired off, whether an edit stands in one of them or in several."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "MINOR", 4)
+    rng = np.random.default_rng(12)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    one, two, first, last = make(154), make(154), [make(16) for _ in range(10)], [make(16) for _ in range(10)]
+    rows = [(k, " ".join(one + make(17)), "en") for k in range(100)]
+    rows += [(100 + k, " ".join(first[k // 10] + two + last[k % 10]), "en") for k in range(100)]
+    rows += [(1000, f"{rows[7][1]} more", "en"), (1001, f"{rows[108][1]} more", "en")]
+    rows += [(2000 + k, " ".join(make(8)), "en") for k in range(3000)]
+    pairs, stored = [], near_dedup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table(spark, rows)).collect()}
+    assert found.pop(1000) == 7 and found.pop(1001) == 108 and all(k == c for k, c in found.items())
+    assert sum(pairs) < 2500, pairs
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(9)
     keys = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
