@@ -17,8 +17,10 @@ sum of minima over the sum of maxima, is THRESHOLD or more. Classes are the conn
    outside its largest component, all of those are compared (`SMALL`, `MINOR`): a member has a bounded number of partners there.
    Members of other buckets, which agree by chance, as on a passage that many documents hold, are dealt into buckets again, by
    FINE_BANDS bands of FINE_ROWS samples, and 3 and 4 are done once more, now with all pairs that are left.
+   Of those a pair is formed only if its similarity can reach THRESHOLD: the shingles are dealt into PARTS parts by hash, and two
+   documents have no more in common than, over the parts, the lesser of their weights in shingles that other texts hold too.
 
-So no candidate pair of different components is given up, and no bucket is paired off as a whole unless its members agree in FINE_ROWS samples.
+So no candidate pair of different components is given up that could be a link, and no bucket is paired off as a whole unless its members agree in FINE_ROWS samples.
 
 A document without words is a class of its own. Null text counts as empty; documents of fewer than five words have one
 shingle of all of them. Rows that repeat share a class. The class id is the smallest id in it (null ids lose to others).
@@ -49,6 +51,8 @@ ROWS, BANDS = 3, 10
 FINE_ROWS, FINE_BANDS, FINE_SAMPLES = 8, 48, 192
 #: A bucket is compared in whole if it has so many members at most, or so many outside its largest component.
 SMALL, MINOR = 64, 32
+#: Parts of a document's shingles whose weights bound what two documents have in common.
+PARTS = 64
 #: Text bytes of a block, which bound a worker's arrays.
 BLOCK_BYTES = 4 << 20
 #: Pairs of one leader that one group verifies on average.
@@ -279,19 +283,36 @@ def verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
     return left.groupBy("a", "salt").cogroup(right.groupBy("a", "salt")).applyInArrow(run, "a binary, b binary")
 
 
+def parts_of(table: pa.Table, keys: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each document of a table (df, copies) the weight of each part of its shingles, without those that it and its copies alone hold; rounded up."""
+    sizes = np.diff(np.append(start, len(keys)))
+    df = np.concatenate([unpack_counts(x) for x in table.column("df").to_pylist()]).astype(np.int64)
+    shared = df > np.repeat(table.column("copies").to_numpy(), sizes)
+    part = np.repeat(np.arange(len(start)) * PARTS, sizes) + (keys % np.uint64(PARTS)).astype(np.int64)
+    sums = np.bincount(part, np.where(shared, weight, 0), len(start) * PARTS).reshape(-1, PARTS)
+    return np.nextafter(sums.astype(np.float32), np.float32(np.inf))
+
+
 def fine_bands(features: DataFrame) -> DataFrame:
-    """Features (same, weight and the shingles) to (same, weight, bands), by FINE_BANDS bands."""
+    """Features (same, weight, copies and the shingles) to (same, weight, bands, common, parts), by FINE_BANDS bands; common: the sum of parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(pa.Table.from_batches([batch])):
                 keys, w, start = features_of(part)
                 bands = bands_of(sample(keys, np.log(w).astype(np.float32), start, FINE_SAMPLES), _fine_bands())
-                yield from pa.table([part.column(0), part.column(1), pa.array(bands.tolist(), pa.list_(pa.int64()))], ["same", "weight", "bands"]).to_batches()
+                parts = parts_of(part, keys, w, start)
+                columns = [pa.array(bands.tolist(), pa.list_(pa.int64())), pa.array(parts.sum(1, dtype=np.float64)), pa.array(parts.tolist(), pa.list_(pa.float32()))]
+                yield from pa.table([part.column(0), part.column(1), *columns], ["same", "weight", "bands", "common", "parts"]).to_batches()
             trim_after(batch.nbytes)
 
-    own = features.select("same", "weight", "shingles", "tf", "df", "n_docs")
-    return own.mapInArrow(run, "same binary, weight double, bands array<long>")
+    own = features.select("same", "weight", "shingles", "tf", "df", "n_docs", "copies")
+    return own.mapInArrow(run, "same binary, weight double, bands array<long>, common double, parts array<float>")
+
+
+def reachable(overlap: Column, threshold: float) -> Column:
+    """Whether two documents (weight, a_weight) that have so much in common at most can be similar enough."""
+    return overlap * (1 + threshold) >= (threshold - 1e-6) * (F.col("weight") + F.col("a_weight"))
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -315,7 +336,7 @@ def _merged(pairs: DataFrame, labels: DataFrame, features: DataFrame, threshold:
 def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold: float, bands: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """labels after the links in buckets (bucket, n, same, weight), and the members of crowded buckets.
 
-    With bands (same, bands) of the members, all pairs that are left are compared, and no bucket is crowded.
+    With bands (same, bands, common, parts) of the members, all pairs that are left and can be links are compared, and no bucket is crowded.
     """
     close = F.least("weight", "a_weight") >= threshold * F.greatest("weight", "a_weight") - 1e-9
     whole = bands is not None
@@ -339,13 +360,16 @@ def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold
     met = left.join(open_.filter("few"), "bucket")
     if whole:
         met = stored(met.join(bands, "same"), "met")
-    minor = met.filter(F.col("root") != F.col("top")).select("bucket", F.col("same").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight"), *([F.col("bands").alias("a_bands")] if whole else []))
+    minor = met.filter(F.col("root") != F.col("top")).select("bucket", F.col("same").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight"), *(F.col(c).alias(f"a_{c}") for c in ("bands", "common", "parts") if whole))
     # Of two members outside the largest component the smaller asks.
     once = (F.col("root") == F.col("top")) | (F.col("a") < F.col("same"))
     if whole:
         # A pair is of the first bucket that it shares; where one of the two led that, they have met.
         both = F.filter(F.zip_with("bands", "a_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
         once &= F.get(both, F.lit(0)) == F.col("bucket")
+        # What needs less work is tested first.
+        overlap = F.aggregate(F.zip_with("parts", "a_parts", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y.cast("double"))
+        once = reachable(F.least("common", "a_common"), threshold) & once & reachable(overlap, threshold)
     rest = met.join(minor, "bucket").filter((F.col("root") != F.col("a_root")) & once & close)
     labels = _merged(rest.select("a", F.col("same").alias("b"), "a_root", F.col("root").alias("b_root")), labels, features, threshold)
     crowded = None if whole else stored(left.join(open_.filter("not few"), "bucket").select("same").distinct(), "crowded")
@@ -353,21 +377,21 @@ def settle(buckets: DataFrame, labels: DataFrame, features: DataFrame, threshold
 
 
 def linked(entities: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """Entities (same, rep, weight, bands) that have candidates, as (same, root); None if there are none."""
+    """Entities (same, rep, n, weight, bands) that have candidates, as (same, root); None if there are none."""
     buckets = shared_buckets(entities.select("same", "weight", "bands"))
-    candidates = stored(buckets.select("same").distinct().join(entities.select("same", "rep"), "same"), "candidates")
+    candidates = stored(buckets.select("same").distinct().join(entities.select("same", "rep", F.col("n").alias("copies")), "same"), "candidates")
     n = candidates.count()
     if not n:
         return None
     # One row of each entity is read: the filter is of entity and id, so that copies are not shuffled.
     chosen = lambda i: F.unhex(F.md5(F.concat(F.hex("same").cast("binary"), F.coalesce(F.col(i).cast("string"), F.lit("")).cast("binary")))).alias("chosen")
     few = passing(sketches.filter("same is not null").withColumn("chosen", chosen("doc_id")), "chosen", bloom_of(candidates.select(chosen("rep")), n)).drop("chosen")
-    features = few.join(small(candidates).select(F.col("same").alias("_same"), "rep"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    features = stored(features.select("same", "weight", "shingles", "tf", "df", "n_docs").dropDuplicates(["same"]), "features")
+    features = few.join(small(candidates).select(F.col("same").alias("_same"), "rep", "copies"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    features = stored(features.select("same", "weight", "shingles", "tf", "df", "n_docs", "copies").dropDuplicates(["same"]), "features")
     labels, crowded = settle(buckets, candidates.select("same", F.col("same").alias("root")), features, threshold)
     if crowded is not None and not crowded.isEmpty():
         fine = stored(fine_bands(features.join(small(crowded), "same", "left_semi")), "fine")
-        labels, _ = settle(shared_buckets(fine), labels, features, threshold, fine.select("same", "bands"))
+        labels, _ = settle(shared_buckets(fine), labels, features, threshold, fine.drop("weight"))
     return labels
 
 

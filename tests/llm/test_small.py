@@ -215,6 +215,29 @@ def test_pairs_of_groups_just_under_the_threshold(spark, monkeypatch):
     assert sum(pairs) < 2500, pairs
 
 
+def test_pairs_of_a_group_of_edited_copies(spark, monkeypatch):
+    """Copies of one text with edits at places of their own, most of them too far apart: only pairs that can be links are formed, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "MINOR", 4)
+    rng = np.random.default_rng(14)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 9000, 1200))
+    rows = [(k, edited(rng, base, int(rng.integers(5, 7))), "en") for k in range(120)]
+    rows += [(200 + k, edited(rng, rows[k][1], int(rng.integers(0, 3))), "en") for k in range(0, 120, 6)]
+    rows += [(400 + k, rows[k][1], "en") for k in range(0, 120, 10)]
+    pairs, stored = [], near_dedup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    found = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.classes(table(spark, rows)).collect()), key=str)
+    assert found == brute_near(rows)
+    assert 60 < len({c for _, c in found}) and sum(pairs) < 2500, pairs
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(9)
     keys = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
