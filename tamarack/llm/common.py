@@ -140,11 +140,27 @@ def block_of(n_blocks: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n_blocks)).cast("long")
 
 
+#: What empties the caches that are only worth their memory while their own operator runs.
+_kept: list[Callable[[], None]] = []
+
+
+def keeps(cached: Callable) -> Callable:
+    """A function with a large lru_cache, which other operators' kernels empty: a worker outlives its step, and with it what it has cached."""
+    _kept.append(cached.cache_clear)
+    return cached
+
+
+def let_go() -> None:
+    for clear in _kept:
+        clear()
+
+
 def trimmed(kernel: Callable) -> Callable:
-    """A function of groups that leaves no freed memory behind."""
+    """A function of groups that leaves no freed memory behind, nor what a step before has cached in its worker."""
 
     @functools.wraps(kernel)
     def run(*tables: pa.Table) -> pa.Table:
+        let_go()
         try:
             return kernel(*tables)
         finally:

@@ -35,8 +35,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bloom import bloom_of, passing
 from .common import BROADCAST_ROWS, block_count, block_of, dropped, mark_of, require, require_ids, small, stored, text_of, trim_after, trimmed
@@ -57,6 +59,8 @@ PARTS = 64
 BLOCK_BYTES = 4 << 20
 #: Pairs of one leader that one group verifies on average.
 GROUP_PAIRS = 128
+#: Links between classes that are brought to the driver at most, some 32 bytes each.
+DRIVER_EDGES = 1 << 17
 #: Packed shingles that are unpacked at a time.
 PART_BYTES = 1 << 20
 _CHUNK = 1 << 16
@@ -209,13 +213,30 @@ def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return stored(rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(draw, SKETCH), "sketches").withColumn("n_docs", F.lit(n_docs))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _rooted(edges: pa.Table) -> pa.Table:
+    """components() of edges in memory: the root is the least node."""
+    a, b = (edges.column(c).combine_chunks() for c in "ab")
+    both = pa.concat_arrays([a, b]).unique()
+    nodes = both.take(pc.sort_indices(both))
+    a, b, root = *(pc.index_in(x, nodes).to_numpy() for x in (a, b)), np.arange(len(nodes))
+    while (apart := root[a] != root[b]).any():
+        low, high = np.minimum(root[a], root[b])[apart], np.maximum(root[a], root[b])[apart]
+        np.minimum.at(root, high, low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    return pa.table([nodes, nodes.take(pa.array(root))], ["node", "root"])
+
+
+def components(edges: DataFrame, most: int = DRIVER_EDGES) -> DataFrame:
     """Edges (a, b) to (node, root) for all their nodes; root is a node that is connected, the same for all that are.
 
-    Each node hooks onto its smallest neighbour, paths are shortened by doubling, and edges are contracted. A path that is longer
-    than that stays as an edge of the next round.
+    Up to `most` stored edges meet on the driver, in one job. Beyond, each node hooks onto its smallest neighbour, paths are shortened by
+    doubling, and edges are contracted. A path that is longer than that stays as an edge of the next round.
     """
-    edges, found = edges.checkpoint(), None
+    if edges.count() <= most:
+        kind = edges.schema["a"].dataType
+        return edges.sparkSession.createDataFrame(_rooted(edges.select("a", "b").toArrow()), T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
+    found = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")).checkpoint()
@@ -328,7 +349,7 @@ def _merged(pairs: DataFrame, labels: DataFrame, features: DataFrame, threshold:
     similar = stored(verify(pairs.select("a", "b"), features, threshold), "links")
     if similar.isEmpty():
         return labels
-    edges = similar.join(pairs, ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    edges = stored(similar.join(pairs, ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
     moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("next"))
     return stored(labels.join(moved, "root", "left").select("same", F.coalesce("next", "root").alias("root")), "labels")
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import require, text_of, trim
+from .common import keeps, require, text_of, trim
 
 MARK = "▁"
 #: Begins the names of pieces that no text spells, and what stands for it where a text has it: neither is in a vocabulary.
@@ -240,6 +240,7 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix else text
 
 
+@keeps
 @lru_cache(maxsize=1)
 def encoder_of(data: bytes) -> Encoder:
     return Encoder(data)

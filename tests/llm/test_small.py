@@ -7,12 +7,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tamarack.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, pack, pii, quality, queries, token_counts, warc, words
+from tamarack.llm import chat, common, decontaminate, exact_dedup, language_id, near_dedup, pack, pii, quality, queries, token_counts, warc, words
 from tamarack.llm import sentencepiece as sp
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, same long, block string"
@@ -295,6 +296,51 @@ def test_components(spark):
     assert len(found) == 201 and len({bytes(r["root"]) for r in found}) == 1
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=40))
+def test_components_in_memory(pairs):
+    found = near_dedup._rooted(pa.table({"a": [b"%02d" % a for a, _ in pairs], "b": [b"%02d" % b for _, b in pairs]})).to_pylist()
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {int(r["node"]): int(r["root"]) for r in found} == least and len(found) == len(least)
+
+
+def test_components_beyond_the_driver(spark):
+    rng = np.random.default_rng(3)
+    rows = [(b"%03d" % a, b"%03d" % b) for a, b in rng.integers(0, 300, (200, 2)) if a != b]
+    edges = spark.createDataFrame([*rows, *((b"p%03d" % k, b"p%03d" % (k + 1)) for k in range(100))], "a binary, b binary")
+    classes = []
+    for most in (0, 1 << 17):
+        groups: dict[bytes, set[bytes]] = {}
+        for r in near_dedup.components(edges, most).collect():
+            groups.setdefault(bytes(r["root"]), set()).add(bytes(r["node"]))
+        classes.append(sorted(map(sorted, groups.values())))
+    assert classes[0] == classes[1] and all(r in g for r, g in groups.items())
+
+
+def test_few_links_need_no_rounds_of_files(spark, monkeypatch):
+    edges = spark.createDataFrame([(b"%03d" % k, b"%03d" % (k + 1)) for k in range(200)], "a binary, b binary")
+    written = []
+    monkeypatch.setattr(type(edges), "checkpoint", lambda self, *a, f=type(edges).checkpoint: written.append(self) or f(self, *a))
+    assert near_dedup.components(edges).count() == 201 and not written
+
+
+def test_kernels_let_go_of_other_steps_caches():
+    emptied = []
+
+    class Cached:
+        def cache_clear(self):
+            emptied.append(True)
+
+    own = common.keeps(Cached())
+    try:
+        assert common.trimmed(lambda table: table)(pa.table({"a": [1]})).num_rows == 1 and emptied
+    finally:
+        common._kept.remove(own.cache_clear)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text(alphabet="ab Z9é-\n", max_size=30), max_size=6))
 def test_shingles(texts):
@@ -845,3 +891,11 @@ def test_merkle_roots_differ_with_order(spark):
     a = spark.createDataFrame([(0, 0, "x"), (1, 0, "y")], "file long, node long, hash string")
     b = spark.createDataFrame([(0, 0, "y"), (1, 0, "x")], "file long, node long, hash string")
     assert warc.root_of([a]) != warc.root_of([b])
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files")
+def test_the_encoder_goes_when_other_steps_run():
+    with open(MODEL, "rb") as f:
+        sp.encoder_of(f.read())
+    common.trimmed(lambda table: table)(pa.table({"a": [1]}))
+    assert sp.encoder_of.cache_info().currsize == 0
