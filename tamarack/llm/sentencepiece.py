@@ -20,6 +20,7 @@ symbols U+2581, which become spaces.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import keeps, require, text_of, trim
+from .common import keeps, require, text_of, trim, trim_after
 
 MARK = "▁"
 #: Begins the names of pieces that no text spells, and what stands for it where a text has it: neither is in a vocabulary.
@@ -265,6 +266,8 @@ def encode(docs: DataFrame, model: bytes, parity: bool = False) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Threads of its own, one for each core of the machine, cost memory that the worker doesn't get back.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         own, other = encoder_of(known.value), None
         if parity:
             from sentencepiece import SentencePieceProcessor
@@ -282,6 +285,7 @@ def encode(docs: DataFrame, model: bytes, parity: bool = False) -> DataFrame:
                     [part.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in each]), pa.array([own.decode(x) == own.decoded(t) for t, x in zip(plain, each, strict=True)]), pa.array(same, pa.bool_())],
                     ["doc_id", "n_tokens", "ids", "ids_sha256", "round_trip", "parity"],
                 )
+                trim_after(part.nbytes)
         trim()
 
     kind = dict(rows.dtypes)["doc_id"]

@@ -899,3 +899,19 @@ def test_the_encoder_goes_when_other_steps_run():
         sp.encoder_of(f.read())
     common.trimmed(lambda table: table)(pa.table({"a": [1]}))
     assert sp.encoder_of.cache_info().currsize == 0
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files")
+def test_encoding_starts_no_threads(spark, monkeypatch):
+    """The kernel runs here, in a process that counts its threads, as it would in a worker."""
+    kernels = []
+    docs = table(spark, [(1, "a", "en")])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: kernels.append(run) or self)
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    sp.encode(docs, sp.read_model(spark, MODEL))
+    rows = pa.table({"doc_id": range(512), "text": [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(512)]}).to_batches()
+    before = len(os.listdir("/proc/self/task"))
+    assert sum(b.num_rows for b in kernels[0](iter(rows))) == 512
+    # Spark's own threads may come meanwhile; Rayon has one for each core.
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false" and len(os.listdir("/proc/self/task")) - before < max(3, os.cpu_count())
+    del os.environ["TOKENIZERS_PARALLELISM"]
